@@ -65,7 +65,7 @@ def min_max(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def global_max(df: DataFrame, cols: list[str]) -> DataFrame:
     """Columns divided by the single greatest value."""
-    one = df.agg(F.max(F.greatest(*cols)).alias("_m"))
+    one = df.agg(F.max(F.greatest(*cols) if len(cols) > 1 else F.col(cols[0])).alias("_m"))
     return df.join(F.broadcast(one)).withColumns({c: F.try_divide(c, "_m") for c in cols}).select(df.columns)
 
 

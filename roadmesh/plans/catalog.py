@@ -231,10 +231,10 @@ def w14_w15_trend(i: Inputs) -> DataFrame:
     return rounded(reshape.trend_labels(reshape.first_last_difference(i.jf(), ["nid"], "event_id", "jf"), tie="nid"))
 
 
-@query("select nid, event_id, round(avg(jf) over (partition by nid order by event_id rows between unbounded preceding and current row),6) as running, jf/max(jf) over (partition by city) as share from jf")
+@query("select nid, event_id, round(avg(jf) over (partition by nid order by event_id rows between unbounded preceding and current row),9) as running, jf/max(jf) over (partition by city) as share from jf")
 def w4_a40_running_mean(i: Inputs) -> DataFrame:
     w = W.partitionBy("nid").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    return i.jf().select("nid", "event_id", F.round(F.avg("jf").over(w), 6).alias("running"), (F.col("jf") / F.max("jf").over(W.partitionBy("city"))).alias("share"))
+    return i.jf().select("nid", "event_id", F.round(F.avg("jf").over(w), 9).alias("running"), (F.col("jf") / F.max("jf").over(W.partitionBy("city"))).alias("share"))
 
 
 # Sets
@@ -249,14 +249,14 @@ def s1_s3_s4_j13_j14_sets(i: Inputs) -> DataFrame:
 # Text
 
 
-@query("select doc_id, count(*) as lines, sum(length(line)) as chars from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by 1")
+@query("select doc_id, count(*) as lines, sum(length(line))::bigint as chars from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by 1")
 def io3_f5_lines(i: Inputs) -> DataFrame:
     return T.lines(i.table("documents")).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"))
 
 
-@query("select event_id, regexp_replace(regexp_replace(lower(city || ' ' || feature || '--X'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug, case when length(scale::varchar)>=3 then scale::varchar else lpad(scale::varchar, 3, '0') end as scale3, split_part(city || '-' || feature, '-', 2) as part2, try_cast(substr(feature, 2) as double) as num, sign(value) as sign, abs(value) as abs, trunc(value)::integer as cut from importance")
+@query("select event_id, regexp_replace(regexp_replace(lower(city || ' ' || feature || '--X'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') as slug, case when length(scale::varchar)>=3 then scale::varchar else lpad(scale::varchar, 3, '0') end as scale3, split_part(city || '-' || feature, '-', 2) as part2, try_cast(substr(feature, 2) as double) as num, sign(value)::double as sign, abs(value) as abs, trunc(value)::integer as cut from importance where value is not null")
 def f1_f2_f4_f12_f15_strings(i: Inputs) -> DataFrame:
-    d = i.importance()
+    d = i.importance().where("value is not null")
     return d.select("event_id", T.slug(F.concat("city", F.lit(" "), "feature", F.lit("--X"))).alias("slug"), T.zero_fill(F.col("scale")).alias("scale3"), T.part(F.concat("city", F.lit("-"), "feature"), 2).alias("part2"), F.substring("feature", 2, 99).try_cast("double").alias("num"), F.signum("value").alias("sign"), F.abs("value").alias("abs"), F.col("value").cast("int").alias("cut"))
 
 
@@ -292,9 +292,9 @@ def j1_g17_g19_clipped_length(i: Inputs) -> DataFrame:
     return rounded(tiles.clipped_length(seg_tile(i)))
 
 
-@query('select node_id, scale, "row", col from node_tile')
+@query('select node_id, scale, coalesce("row", -1) as "row", coalesce(col, -1) as col from node_tile')
 def j3_g13_nodes_tiles(i: Inputs) -> DataFrame:
-    return node_tile(i).select("node_id", "scale", "row", "col")
+    return node_tile(i).select("node_id", "scale", "row", "col").fillna(-1, ["row", "col"])
 
 
 @query('select scale, "row", col, u, v, key from tile_edges')

@@ -58,12 +58,12 @@ SQL = {
     "seg_bins": "select nid, cast((rn-1)//2 as bigint) as bin, avg(jf) as jf from (select *, row_number() over (partition by nid order by ts, event_id) as rn from jf) group by 1, 2",
     "profile": "select nid, hour, avg(jf) as jf from (select nid, bin//24 as day, bin%24 as hour, jf, count(*) over (partition by nid, bin//24) as n from seg_bins) where n=24 and day<30 group by 1, 2",
     "seg_value": "select nid, avg(jf) as jf from profile where hour>=1 and hour<24 group by 1",
-    "seg_tile": """select t.scale, t.row, t.col, p.nid, p.v, greatest(0.0, x0, y0) as t0, least(1.0, xe, ye) as t1, (least(1.0, xe, ye) - greatest(0.0, x0, y0)) * sqrt(pow(x2-x1,2)+pow(y2-y1,2)) as len
+    "seg_tile": """select scale, "row", col, nid, v, greatest(0.0, x0, y0) as t0, least(1.0, xe, ye) as t1, (least(1.0, xe, ye) - greatest(0.0, x0, y0)) * sqrt(pow(x2-x1,2)+pow(y2-y1,2)) as len
       from (select *, case when x2-x1=0 then case when x1 between w and e then 0.0 else 2.0 end else least((w-x1)/(x2-x1), (e-x1)/(x2-x1)) end as x0,
                       case when x2-x1=0 then case when x1 between w and e then 1.0 else -1.0 end else greatest((w-x1)/(x2-x1), (e-x1)/(x2-x1)) end as xe,
                       case when y2-y1=0 then case when y1 between s and n then 0.0 else 2.0 end else least((s-y1)/(y2-y1), (n-y1)/(y2-y1)) end as y0,
                       case when y2-y1=0 then case when y1 between s and n then 1.0 else -1.0 end else greatest((s-y1)/(y2-y1), (n-y1)/(y2-y1)) end as ye
-            from pieces, tiles) p join tiles t on t.scale=p.scale and t.row=p.row and t.col=p.col
+            from pieces cross join tiles) p
       where greatest(0.0, x0, y0) <= least(1.0, xe, ye)""",
     "node_tile": "select n.*, s.scale, t.row, t.col from nodes n cross join (select unnest([10, 20]) as scale) s left join tiles t on t.scale=s.scale and n.x>t.w and n.x<t.e and n.y>t.s and n.y<t.n",
     "tile_edges": "select scale, \"row\", col, u, v, key, length, lanes, maxspeed from (select t.scale, t.row, t.col, e.*, row_number() over (partition by t.scale, t.row, t.col, e.u, e.v order by e.key) as rn from node_tile t join edges e on e.u=t.node_id where t.row is not null) where rn=1",
@@ -84,4 +84,4 @@ def with_inputs(sql: str) -> str:
                 out.append(name)
 
     add(sql)
-    return f"with {', '.join(f'{n} as ({SQL[n]})' for n in out)} {sql}" if out else sql
+    return f"with {', '.join(f'{n} as {"materialized " if n in ("pieces", "nodes", "tiles") else ""}({SQL[n]})' for n in out)} {sql}" if out else sql
