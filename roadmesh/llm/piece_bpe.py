@@ -81,6 +81,7 @@ class PieceBPE:
                 self.octets[i] = bytes([int(names[i][3:5], 16)])
             elif lib.is_unknown(i):
                 self.octets[i] = " ⁇ ".encode()
+        self.opens = [i in scores and names[i].startswith(BLANK) for i in range(n)]
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def hashed(self) -> None:
@@ -221,7 +222,7 @@ class PieceBPE:
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the blank that encoding puts before a text goes."""
         data = b"".join(map(self.octets.__getitem__, ids))
-        if ids and data[:1] == b" " and self.octets[ids[0]][:1] == b" ":
+        if ids and self.opens[ids[0]]:
             data = data[1:]
         try:
             return data.decode()
