@@ -113,10 +113,9 @@ def clip(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, s: Column, e
     """The part t0 <= t <= t1 of a piece inside a closed box; t0 > t1 where they don't meet."""
 
     def axis(a, d, lo, hi):
-        inside = (a >= lo) & (a <= hi)
-        first = F.when(d == 0, F.when(inside, 0.0).otherwise(2.0)).otherwise(F.least((lo - a) / F.nullif(d, F.lit(0.0)), (hi - a) / F.nullif(d, F.lit(0.0))))
-        last = F.when(d == 0, F.when(inside, 1.0).otherwise(-1.0)).otherwise(F.greatest((lo - a) / F.nullif(d, F.lit(0.0)), (hi - a) / F.nullif(d, F.lit(0.0))))
-        return first, last
+        step = F.nullif(d, F.lit(0.0))  # null along an axis on which the piece stands still
+        at, inside = ((lo - a) / step, (hi - a) / step), (a >= lo) & (a <= hi)
+        return F.coalesce(F.least(*at), F.when(inside, 0.0).otherwise(2.0)), F.coalesce(F.greatest(*at), F.when(inside, 1.0).otherwise(-1.0))
 
     x, y = axis(x1, x2 - x1, w, e), axis(y1, y2 - y1, s, n)
     return F.greatest(F.lit(0.0), x[0], y[0]), F.least(F.lit(1.0), x[1], y[1])

@@ -55,7 +55,7 @@ def wasserstein(df: DataFrame, key: str, value: str) -> DataFrame:
     keys = [r[0] for r in df.select(key).distinct().limit(1000).collect()]
     pairs = sorted((a, b) for a in keys for b in keys if a < b)
     of = F.create_map(*[x for k in keys for x in (F.lit(k), F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(1.0 if k == a else -1.0).alias("sign")) for a, b in pairs if k in (a, b)]))])
-    flow = counts.withColumn("x", F.explode(of[F.col(key)])).select("x.a", "x.b", value, (F.col("p") * F.col("x.sign")).alias("d")).groupBy("a", "b", value).agg(F.sum("d").alias("d"))
+    flow = counts.withColumn("_pair", F.explode(of[F.col(key)])).select("_pair.a", "_pair.b", value, (F.col("p") * F.col("_pair.sign")).alias("d")).groupBy("a", "b", value).agg(F.sum("d").alias("d"))
     w = W.partitionBy("a", "b").orderBy(value)
     flow = flow.withColumns({"f": F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.lead(value).over(w)})
     return flow.groupBy("a", "b").agg(F.sum(F.abs("f") * (F.col("next") - F.col(value))).alias("distance"))

@@ -32,7 +32,10 @@ def join_segments_tiles(pieces: DataFrame, scales: list[int]) -> DataFrame:
     edge = lambda c, k: (F.col(c) + k).cast("double") / F.col("scale")
     t0, t1 = clip(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), edge("col", 0), edge("row", 0), edge("col", 1), edge("row", 1))
     whole = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
-    return p.withColumns({"t0": t0, "t1": t1}).where("t0 <= t1").withColumn("len", (F.col("t1") - F.col("t0")) * whole)
+    # exploding an array of at most one part evaluates the clip once per row; as plain columns
+    # it would be repeated in the filter and in len, in a method too large to be compiled
+    parts = F.filter(F.array(F.struct(t0.alias("t0"), t1.alias("t1"))), lambda t: t["t0"] <= t["t1"])
+    return p.select("*", F.inline(parts)).withColumn("len", (F.col("t1") - F.col("t0")) * whole)
 
 
 def clipped_length(joined: DataFrame) -> DataFrame:
