@@ -63,15 +63,17 @@ def _grouped(work: DataFrame) -> DataFrame:
     return out
 
 
-def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = True) -> DataFrame:
-    """One row per row of docs: row (its number), doc_id, keep_id, keep_row, group_size, kept
+def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = True, row: str | None = None) -> DataFrame:
+    """One row per row of docs: row (its number, or the column that row names), doc_id, keep_id, keep_row, group_size, kept
     and, if asked for, text_sha256. Of equal texts the one with the most code points before
     normalising stays, then the smallest id, then the first row."""
     norm = normalized(F.col(text))
     raw = norm.cast("binary")
-    work = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.length(text), F.lit(0)).alias("points"), raw.alias("raw"))
-    work = work.select(F.monotonically_increasing_id().alias("row"), "id", "points", F.substring("raw", 1, HEAD).alias("head"), F.substring("raw", HEAD + 1, 2**31 - 1).alias("body"), *([F.sha2("raw", 256).alias("text_sha256")] if digest else []))
-    work = stored(work)
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    work = docs.select(number.alias("row"), F.col(key).cast("long").alias("id"), F.coalesce(F.length(text), F.lit(0)).alias("points"), raw.alias("raw"))
+    work = work.select("row", "id", "points", F.substring("raw", 1, HEAD).alias("head"), F.substring("raw", HEAD + 1, 2**31 - 1).alias("body"), *([F.sha2("raw", 256).alias("text_sha256")] if digest else []))
+    if not row:  # numbers must not change between the rounds; a caller's column doesn't
+        work = stored(work)
     groups = _grouped(work)
     facts = work.drop("head", "body")
     members = stored(groups.join(facts.select("row", "id", "points"), "row"))
@@ -90,12 +92,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     mark = free_name(docs.columns, "row")
     numbered = stored(docs.withColumn(mark, F.monotonically_increasing_id()))
-    plain = numbered.select(F.col(mark).alias("id"), F.col(key).alias("first"), F.col(text).alias("text"))
-    # the rows' numbers stand in for ids, so ids that repeat or are null stay apart
-    groups = duplicate_groups(plain.select(F.col("id").alias("doc_id"), "text"), digest=False)
-    copies = groups.where("group_size > 1").select(F.col("doc_id").alias("id"), "keep_row", "group_size")
-    facts = copies.join(plain.select("id", "first", F.coalesce(F.length("text"), F.lit(0)).alias("points")), "id")
-    best = F.min(F.struct((-F.col("points")).alias("a"), F.col("first").isNull().alias("b"), F.col("first").alias("c"), F.col("id").alias("d"))).alias("m")
-    keep = facts.groupBy("keep_row").agg(best).select(F.col("m.d").alias("id"))
-    gone = copies.select("id").join(keep, "id", "left_anti")
-    return numbered.join(gone, numbered[mark] == gone["id"], "left_anti").drop(mark)
+    gone = duplicate_groups(numbered, key, text, digest=False, row=mark).where("not kept").select(F.col("row").alias("gone"))
+    return numbered.join(gone, F.col(mark) == F.col("gone"), "left_anti").drop(mark)
