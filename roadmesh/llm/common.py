@@ -28,28 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
 
 
-_TABLES: list[str] = []
+class Scratch:
+    """The tables that stored() writes within ``with scratch:``; release() deletes them. For
+    callers that have written what they wanted: results that still read the tables fail."""
+
+    open: list[Scratch] = []
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch.open.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        Scratch.open.remove(self)
+
+    def release(self, spark: SparkSession) -> None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once and written as a Parquet table in the shared folder: lineage ends
-    there, and a lost executor costs no recomputation before it. The table stays until
-    release()."""
+    there, and a lost executor costs no recomputation before it."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
-    _TABLES.append(path)
+    for scratch in Scratch.open[-1:]:
+        scratch.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that stored() wrote so far. For callers that have written what
-    they wanted of all results: a DataFrame that still reads such a table fails."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
 def lower_ascii(c: Column) -> Column:
     """c with A-Z in lower case; other letters stay as they are."""
     return F.translate(c, UPPER, LOWER)
