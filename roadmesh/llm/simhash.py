@@ -253,29 +253,33 @@ LONG_RUN = 64
 
 
 def _wide_linker(apart: int):
-    """Pairs of ids that share a variant and whose sketches differ little; of a long run only
-    a spanning forest of these."""
+    """Pairs of ids that share a variant and whose sketches differ little; of a run
+    with many of them only a spanning forest."""
 
     def links(key, sketch, ids):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         length = np.diff(np.r_[start, len(key)])
         run = np.repeat(np.where(length <= LONG_RUN, np.arange(len(start)), -1 - np.arange(len(start))), length)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lag in range(1, LONG_RUN):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & (run[lag:] >= 0))
             if not len(i):
                 break
             i = i[_differing(sketch[i], sketch[i + lag]) <= apart]
-            a.append(ids[i]), b.append(ids[i + lag])
-        for k in np.flatnonzero(length > LONG_RUN):
+            a.append(ids[i]), b.append(ids[i + lag]), at.append(run[i])
+        # a run with as many links as members keeps a spanning forest of them only
+        where = np.concatenate(at)
+        dense = (np.bincount(where, minlength=len(start)) >= length) | (length > LONG_RUN)
+        few = ~dense[where]
+        a, b = [np.concatenate(a)[few]], [np.concatenate(b)[few]]
+        for k in np.flatnonzero(dense & (length > 1)):
             here = slice(start[k], start[k] + length[k])
-            # equal sketches are a chain, different ones a forest over their first ids
+            # equal sketches are tied to their first id, different ones form a forest
             order = np.argsort(sketch[here], kind="stable")
             s, m = sketch[here][order], ids[here][order]
-            same = s[1:] == s[:-1]
-            a.append(m[:-1][same]), b.append(m[1:][same])
-            first = np.r_[True, ~same]
+            first = np.r_[True, s[1:] != s[:-1]]
             own, name = s[first], m[first]
+            a.append(name[np.cumsum(first) - 1][~first]), b.append(m[~first])
             x, y = _forest(own, apart)
             a.append(name[np.searchsorted(own, x)]), b.append(name[np.searchsorted(own, y)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -313,7 +317,7 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5
     signed = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)])))
     classes = stored(signed.groupBy(*names).agg(F.min("id").alias("rep")))
     slots = classes.select("rep", *names[: INDEXED + 1]).mapInArrow(_wide_variants, "slot short, variant int, sketch long, id long")
-    near = slots.repartition(F.col("slot"), F.col("variant")).sortWithinPartitions("slot", "variant").mapInArrow(_wide_linker(bits_apart(similarity, 64) + 6), "a long, b long")
+    near = slots.repartition(F.col("slot"), F.col("variant")).sortWithinPartitions("slot", "variant", "id").mapInArrow(_wide_linker(bits_apart(similarity, 64) + 6), "a long, b long")
     pairs = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     side = lambda c: classes.select(F.col("rep").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
