@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, stored
 
 FIRST, GROW, MOST, HEAD = 64, 4, 1 << 24, 64 + 256
+#: Hash slots of undecided rows: a filter of fixed size before texts are shuffled.
+SLOTS = 1 << 20
 
 
 def normalized(text: Column) -> Column:
@@ -42,7 +44,10 @@ def _grouped(work: DataFrame) -> DataFrame:
             part = work.select("row", chunk.alias("chunk"))
         else:
             if body is None:  # from here on only the rows that are still undecided
-                body = stored(work.join(active.select("row"), "row", "left_semi").select("row", "body"))
+                slot = F.pmod(F.xxhash64("row"), F.lit(SLOTS))
+                used = F.broadcast(active.select(slot.alias("slot")).distinct())  # SLOTS rows at most
+                near = work.withColumn("slot", slot).join(used, "slot", "left_semi")
+                body = stored(near.join(active.select("row"), "row", "left_semi").select("row", "body"))
             part = body.select("row", F.substring("body", offset - HEAD + 1, step).alias("chunk"))
         if active is None:
             part = part.withColumn("grp", F.lit(0).cast("long"))
