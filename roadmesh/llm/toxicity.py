@@ -18,8 +18,7 @@ highest counts. Repeated rows are scored each.
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,20 +72,25 @@ class Logistic:
 
 
 class Chain:
-    def __init__(self, texts: list[set[bytes]], labels: np.ndarray, seed: int = 7):
-        """labels: a column per category, NaN where unknown."""
-        found = Counter(w for t in texts for w in t)
-        common = sorted((w for w, n in found.items() if n >= MIN_DOCS), key=lambda w: (-found[w], w))
-        self.index = {w: i for i, w in enumerate(common)}
-        rows, cols = self.places(texts)
+    def __init__(self, texts: Iterable[set[bytes]], labels: np.ndarray, seed: int = 7):
+        """labels: a column per category, NaN where unknown. Texts are read once and held as
+        numbers of their words, so that no word is in memory more than once."""
+        number: dict[bytes, int] = {}
+        held = [np.fromiter((number.setdefault(w, len(number)) for w in t), np.int32, len(t)) for t in texts]
+        n, rows = len(held), np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])
+        cols = np.concatenate([np.zeros(0, np.int32), *held])
+        found = np.bincount(cols, minlength=len(number))
+        common = sorted((w for w, i in number.items() if found[i] >= MIN_DOCS), key=lambda w: (-found[number[w]], w))
+        rows, cols = self._renumbered(rows, cols, number, common)
         far = np.zeros(len(common))
         for y in labels.T:
             known = ~np.isnan(y)[rows]
-            n, rate = np.bincount(cols[known], minlength=len(common)), (np.nansum(y) + 1) / (np.sum(~np.isnan(y)) + 2)
+            seen, rate = np.bincount(cols[known], minlength=len(common)), (np.nansum(y) + 1) / (np.sum(~np.isnan(y)) + 2)
             hits = np.bincount(cols[known], y[rows[known]], len(common))
-            far = np.maximum(far, np.abs(hits - n * rate) / np.sqrt(np.maximum(n * rate * (1 - rate), 1e-9)))
-        self.index = {w: i for i, w in enumerate([w for w, z in zip(common, far) if z >= DEVIATION][:WORDS])}
-        n, (rows, cols) = len(texts), self.places(texts)
+            far = np.maximum(far, np.abs(hits - seen * rate) / np.sqrt(np.maximum(seen * rate * (1 - rate), 1e-9)))
+        telling = [w for w, z in zip(common, far) if z >= DEVIATION][:WORDS]
+        rows, cols = self._renumbered(rows, cols, {w: i for i, w in enumerate(common)}, telling)
+        self.index = {w: i for i, w in enumerate(telling)}
         fold = np.random.default_rng(seed).permutation(n) % FOLDS
         self.models, fed = [], np.zeros((n, 0))
         for y in labels.T:
@@ -99,6 +103,16 @@ class Chain:
             fed = np.column_stack([fed, out])
         self.out_of_fold = fed
 
+    @staticmethod
+    def _renumbered(rows: np.ndarray, cols: np.ndarray, number: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of words, which are numbered by their order; sorted by text and word."""
+        to = np.full(len(number), -1, np.int32)
+        to[[number[w] for w in words]] = np.arange(len(words))
+        new = to[cols]
+        rows, new = rows[new >= 0], new[new >= 0]
+        order = np.lexsort((new, rows))
+        return rows[order], new[order]
+
     def _fit(self, rows, cols, dense, y, use) -> Logistic:
         at = np.cumsum(use) - 1
         mine = use[rows]
@@ -133,7 +147,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], key: st
     got = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(chosen, "id long, words binary").groupBy("id").agg(F.min("words").alias("words")).toArrow().sort_by("id")
     ids = got.column("id").to_pylist()
     y = np.array([[np.nan if v is None else v for v in marks[i]] for i in ids], float).reshape(len(ids), len(categories))
-    return Chain([set(w.split()) for w in got.column("words").to_pylist()], y, seed)
+    return Chain((set(w.as_py().split()) for w in got.column("words")), y, seed)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", bar: float = 0.5, seed: int = 7) -> DataFrame:
