@@ -17,6 +17,10 @@ fingerprints, links are reduced to a spanning forest before they leave the task,
 cluster of n yields at most n - 1 rows, and no set of pairs is made. Links become
 components by rounds of label spreading over written tables.
 
+For a similarity such a forest is of loose links, so it only says which signatures belong to
+one family; within a family all are compared by all bits, whether the forest joins them or
+not. A family is one task's work.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; a
 text of fewer words than a shingle hashes as a whole. Repeated rows get their result each;
 null ids give a null component only if no id of the component is known.
@@ -254,7 +258,7 @@ LONG_RUN = 64
 
 def _wide_linker(apart: int):
     """Pairs of ids that share a variant and whose sketches differ little; of a run
-    with many of them only a spanning forest."""
+    with many of them only a spanning forest, marked dense: it stands for all its pairs."""
 
     def links(key, sketch, ids):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -272,6 +276,7 @@ def _wide_linker(apart: int):
         dense = (np.bincount(where, minlength=len(start)) >= length) | (length > LONG_RUN)
         few = ~dense[where]
         a, b = [np.concatenate(a)[few]], [np.concatenate(b)[few]]
+        single = len(a[0])
         for k in np.flatnonzero(dense & (length > 1)):
             here = slice(start[k], start[k] + length[k])
             # equal sketches are tied to their first id, different ones form a forest
@@ -282,7 +287,8 @@ def _wide_linker(apart: int):
             a.append(name[np.cumsum(first) - 1][~first]), b.append(m[~first])
             x, y = _forest(own, apart)
             a.append(name[np.searchsorted(own, x)]), b.append(name[np.searchsorted(own, y)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= single)], ["a", "b", "dense"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -304,6 +310,46 @@ def _wide_linker(apart: int):
     return run
 
 
+def _family_labels(apart: int):
+    """node, label: the least id that links of at most apart differing bits reach, from rows
+    (family, id, lanes) sorted by family and id. Every two of a family are compared, but for
+    those that are linked already."""
+
+    def linked(lanes: np.ndarray) -> np.ndarray:
+        """The place of the first member of each member's component."""
+        label, left = np.arange(len(lanes)), np.arange(len(lanes))
+        while len(left):
+            front, root, left = [left[0]], left[0], left[1:]
+            while front and len(left):
+                one = front.pop()
+                hit = _differing(lanes[one], lanes[left]).sum(1, dtype=np.int64) <= apart
+                label[left[hit]] = root
+                front.extend(left[hit].tolist())
+                left = left[~hit]
+        return label
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done():
+            ids = np.concatenate(held_ids)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[linked(np.concatenate(held_lanes))])], ["node", "label"])
+
+        now, held_ids, held_lanes = None, [], []
+        for b in batches:
+            family, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            lanes = np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(LANES)]).view(np.uint64)
+            edges = [0, *(np.flatnonzero(family[1:] != family[:-1]) + 1), len(family)] if len(family) else []
+            for start, end in zip(edges, edges[1:]):
+                if held_ids and family[start] != now:
+                    yield done()
+                    held_ids, held_lanes = [], []
+                now = family[start]
+                held_ids.append(ids[start:end]), held_lanes.append(lanes[start:end])
+        if held_ids:
+            yield done()
+
+    return run
+
+
 def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, component: the smallest id that links of at least this estimated Jaccard
     similarity of word shingles reach. key: a long that is not null and not repeated."""
@@ -315,14 +361,23 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["id", *names])
 
     signed = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)])))
+    return signed_groups(signed, similarity)
+
+
+def signed_groups(signed: DataFrame, similarity: float) -> DataFrame:
+    """id, component: similar_groups() of rows (id, s0, s1, ...) with their signatures."""
+    names = [f"s{i}" for i in range(LANES)]
     classes = stored(signed.groupBy(*names).agg(F.min("id").alias("rep")))
     slots = classes.select("rep", *names[: INDEXED + 1]).mapInArrow(_wide_variants, "slot short, variant int, sketch long, id long")
-    near = slots.repartition(F.col("slot"), F.col("variant")).sortWithinPartitions("slot", "variant", "id").mapInArrow(_wide_linker(bits_apart(similarity, 64) + 6), "a long, b long")
-    pairs = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    near = slots.repartition(F.col("slot"), F.col("variant")).sortWithinPartitions("slot", "variant", "id").mapInArrow(_wide_linker(bits_apart(similarity, 64) + 6), "a long, b long, dense boolean")
+    near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense").distinct())
+    pairs = near.where("not dense").select("a", "b")
     side = lambda c: classes.select(F.col("rep").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= bits_apart(similarity, 64 * LANES)).select("a", "b")
-    labels = stored(components(links))
+    families = stored(components(links.unionByName(near.where("dense").select("a", "b").distinct())))
+    members = families.join(classes, families["node"] == classes["rep"]).select(F.col("label").alias("family"), "rep", *names)
+    labels = stored(members.repartition("family").sortWithinPartitions("family", "rep").mapInArrow(_family_labels(bits_apart(similarity, 64 * LANES)), "node long, label long"))
     owned = classes.join(labels, classes["rep"] == labels["node"], "left").select(*names, F.coalesce("label", "rep").alias("component"))
     return signed.join(stored(owned), names).select("id", "component")
 

@@ -258,6 +258,15 @@ def test_near_dedup_keeps_one(spark):
     assert simhash.dedup(d.where("false")).count() == 0
 
 
+def test_a_hub_hides_no_pair(spark):
+    """1 and 2 are alike; the sketches of both are near that of 0, which isn't like them."""
+    signatures = [[0] * simhash.LANES for _ in range(3)]
+    signatures[1][simhash.INDEXED], signatures[2][simhash.INDEXED] = 0b1111111111, 0b110011111111
+    signatures[0][simhash.INDEXED + 1 :] = [-1] * (simhash.LANES - simhash.INDEXED - 1)
+    signed = spark.createDataFrame([(i, *s) for i, s in enumerate(signatures)], ", ".join(["id long", *(f"s{i} long" for i in range(simhash.LANES))]))
+    assert {r["id"]: r["component"] for r in simhash.signed_groups(signed, 0.8).collect()} == {0: 0, 1: 1, 2: 1}
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(7)
     calm, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)], ["vilename", "nastyword"]
