@@ -1,0 +1,17 @@
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from roadmesh.llm import mixing
+
+
+def test_mixing_meets_each_source_target(spark):
+    """A hot source is cut below its size, small ones are repeated: words kept are near the targets."""
+    n = {"a": 300, "b": 3000, "c": 900}
+    rows = [(i * 10 + k, " ".join(["w"] * (150 + i % 200)), s, i) for k, (s, m) in enumerate(n.items()) for i in range(m)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    want = {r["source"]: (r["target"], r["source_size"]) for r in mixing.mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.first("source_size").alias("source_size")).collect()}
+    kept = corpus_pipeline.mixture(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = {r["source"]: r["n"] for r in kept.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    assert any(abs(t / size - round(t / size)) > 0.2 for t, size in want.values())
+    assert all(abs(got[s] - t) <= 0.05 * t for s, (t, _) in want.items()), (got, want)
