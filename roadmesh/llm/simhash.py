@@ -9,8 +9,9 @@ sort and are verified over all 64 bits.
 For a Jaccard similarity (``similar_groups``, ``dedup``) one fingerprint is too short: texts
 of similarity 0.8 differ in some ten of 64 bits. There a signature has LANES fingerprints;
 segments of SEGMENT bits are indexed with one wildcard each, a further lane filters what
-meets, and all bits decide. At 0.8 a pair meets in a segment with a chance of 0.28, in one of
-twelve with 0.98.
+meets, all bits filter again by a loose bound, and the exact Jaccard similarity of the sets
+of shingle hashes decides. At 0.8 a pair meets in a segment with a chance of 0.28, in one of
+sixteen with 0.995. Texts of equal signatures count as alike without a look at their sets.
 
 Copies collapse first: one row per distinct fingerprint goes on. Where a variant has many
 fingerprints, links are reduced to a spanning forest before they leave the task, so a
@@ -18,8 +19,8 @@ cluster of n yields at most n - 1 rows, and no set of pairs is made. Links becom
 components by rounds of label spreading over written tables.
 
 For a similarity such a forest is of loose links, so it only says which signatures belong to
-one family; within a family all are compared by all bits, whether the forest joins them or
-not. A family is one task's work.
+one family; within a family all are compared, whether the forest joins them or not. A family
+is one task's work, and its sets are in that task's memory.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; a
 text of fewer words than a shingle hashes as a whole. Repeated rows get their result each;
@@ -205,22 +206,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For a similarity instead of a distance: lanes of 64 bits, of which the first three are
-#: cut into segments of SEGMENT bits, the next one filters and all together decide.
-LANES, INDEXED, SEGMENT = 8, 3, 16
+#: For a similarity instead of a distance: lanes of 64 bits, of which the first four are
+#: cut into segments of SEGMENT bits, the next one filters and all together filter again.
+LANES, INDEXED, SEGMENT = 8, 4, 16
+#: Standard deviations that the last filter leaves above the expected bits: at the asked
+#: similarity it loses about one pair in 30,000.
+SPARE = 4.0
 _LANE_MIX = np.array([(2 * i + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for i in range(LANES)], np.uint64)
 
 
-def signature(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
-    """LANES * 64 bits, each set if over half of the shingles' mixed hashes set it."""
+def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; none for a text without words."""
     import xxhash
 
     tokens = (text or "").encode().translate(LOWER_TABLE).split()
-    if not tokens:
+    n = max(1, len(tokens) - words + 1) if tokens else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), seed) for i in range(n)), np.uint64, n))
+
+
+def jaccard(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of a sorted set with each of others, none of them empty."""
+    sizes = np.array([len(o) for o in others])
+    flat = np.concatenate(others)
+    same = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.add.reduceat(same, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return both / (len(one) + sizes - both)
+
+
+def signature(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """LANES * 64 bits, each set if over half of the shingles' mixed hashes set it."""
+    base = shingles(text, words, seed)
+    if not len(base):
         return np.zeros(LANES, np.uint64)
-    n = max(1, len(tokens) - words + 1)
-    base = np.fromiter((xxhash.xxh64_intdigest(b" ".join(tokens[i : i + words]), seed) for i in range(n)), np.uint64, n)
-    base = np.unique(base)
     ones = np.zeros((LANES, 64), np.int64)
     for at in range(0, len(base), 16384):
         x = base[at : at + 16384, None] * _LANE_MIX
@@ -231,11 +248,11 @@ def signature(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.packbits(2 * ones > len(base), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def bits_apart(similarity: float, bits: int) -> int:
+def bits_apart(similarity: float, bits: int, spare: float = 1.3) -> int:
     """Differing bits, of so many, that sets of this Jaccard similarity stay within but for
-    one pair in ten: the expected angle plus 1.3 standard deviations."""
+    one pair in ten: the expected angle plus 1.3, or spare, standard deviations."""
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * p + 1.3 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + spare * np.sqrt(bits * p * (1 - p)))
 
 
 def _wide_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,19 +327,22 @@ def _wide_linker(apart: int):
     return run
 
 
-def _family_labels(apart: int):
-    """node, label: the least id that links of at most apart differing bits reach, from rows
-    (family, id, lanes) sorted by family and id. Every two of a family are compared, but for
-    those that are linked already."""
+def _family_labels(apart: int, words: int, similarity: float):
+    """node, label: the least id that links of at least this similarity reach, from rows
+    (family, id, lanes, text) sorted by family and id. Every two of a family are compared, by
+    their sets if they are at most apart bits apart, but for those that are linked already."""
 
-    def linked(lanes: np.ndarray) -> np.ndarray:
+    def linked(lanes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         """The place of the first member of each member's component."""
         label, left = np.arange(len(lanes)), np.arange(len(lanes))
+        filled = np.array([len(x) > 0 for x in sets])
         while len(left):
             front, root, left = [left[0]], left[0], left[1:]
             while front and len(left):
                 one = front.pop()
-                hit = _differing(lanes[one], lanes[left]).sum(1, dtype=np.int64) <= apart
+                hit = (_differing(lanes[one], lanes[left]).sum(1, dtype=np.int64) <= apart) & filled[left] & filled[one]
+                if hit.any():
+                    hit[hit] = jaccard(sets[one], [sets[i] for i in left[hit]]) >= similarity
                 label[left[hit]] = root
                 front.extend(left[hit].tolist())
                 left = left[~hit]
@@ -331,9 +351,9 @@ def _family_labels(apart: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done():
             ids = np.concatenate(held_ids)
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[linked(np.concatenate(held_lanes))])], ["node", "label"])
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[linked(np.concatenate(held_lanes), held_sets)])], ["node", "label"])
 
-        now, held_ids, held_lanes = None, [], []
+        now, held_ids, held_lanes, held_sets = None, [], [], []
         for b in batches:
             family, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             lanes = np.column_stack([b.column(2 + i).to_numpy(zero_copy_only=False) for i in range(LANES)]).view(np.uint64)
@@ -341,9 +361,10 @@ def _family_labels(apart: int):
             for start, end in zip(edges, edges[1:]):
                 if held_ids and family[start] != now:
                     yield done()
-                    held_ids, held_lanes = [], []
+                    held_ids, held_lanes, held_sets = [], [], []
                 now = family[start]
                 held_ids.append(ids[start:end]), held_lanes.append(lanes[start:end])
+                held_sets.extend(shingles(t.as_py(), words) for t in b.column(2 + LANES).slice(start, end - start))
         if held_ids:
             yield done()
 
@@ -351,8 +372,8 @@ def _family_labels(apart: int):
 
 
 def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """id, component: the smallest id that links of at least this estimated Jaccard
-    similarity of word shingles reach. key: a long that is not null and not repeated."""
+    """id, component: the smallest id that links of at least this Jaccard similarity of word
+    shingles reach. key: a long that is not null and not repeated."""
     names = [f"s{i}" for i in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,11 +382,11 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["id", *names])
 
     signed = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)])))
-    return signed_groups(signed, similarity)
+    return signed_groups(signed, docs.select(F.col(key).alias("id"), F.col(text).alias("t")), words, similarity)
 
 
-def signed_groups(signed: DataFrame, similarity: float) -> DataFrame:
-    """id, component: similar_groups() of rows (id, s0, s1, ...) with their signatures."""
+def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """id, component: similar_groups() of texts(id, t), signed being (id, s0, s1, ...)."""
     names = [f"s{i}" for i in range(LANES)]
     classes = stored(signed.groupBy(*names).agg(F.min("id").alias("rep")))
     slots = classes.select("rep", *names[: INDEXED + 1]).mapInArrow(_wide_variants, "slot short, variant int, sketch long, id long")
@@ -373,11 +394,12 @@ def signed_groups(signed: DataFrame, similarity: float) -> DataFrame:
     near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense").distinct())
     pairs = near.where("not dense").select("a", "b")
     side = lambda c: classes.select(F.col("rep").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
+    wide = bits_apart(similarity, 64 * LANES, SPARE)
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= bits_apart(similarity, 64 * LANES)).select("a", "b")
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= wide).select("a", "b")
     families = stored(components(links.unionByName(near.where("dense").select("a", "b").distinct())))
-    members = families.join(classes, families["node"] == classes["rep"]).select(F.col("label").alias("family"), "rep", *names)
-    labels = stored(members.repartition("family").sortWithinPartitions("family", "rep").mapInArrow(_family_labels(bits_apart(similarity, 64 * LANES)), "node long, label long"))
+    members = families.join(classes, families["node"] == classes["rep"]).join(texts, F.col("rep") == F.col("id")).select(F.col("label").alias("family"), "rep", *names, "t")
+    labels = stored(members.repartition("family").sortWithinPartitions("family", "rep").mapInArrow(_family_labels(wide, words, similarity), "node long, label long"))
     owned = classes.join(labels, classes["rep"] == labels["node"], "left").select(*names, F.coalesce("label", "rep").alias("component"))
     return signed.join(stored(owned), names).select("id", "component")
 

@@ -264,7 +264,25 @@ def test_a_hub_hides_no_pair(spark):
     signatures[1][simhash.INDEXED], signatures[2][simhash.INDEXED] = 0b1111111111, 0b110011111111
     signatures[0][simhash.INDEXED + 1 :] = [-1] * (simhash.LANES - simhash.INDEXED - 1)
     signed = spark.createDataFrame([(i, *s) for i, s in enumerate(signatures)], ", ".join(["id long", *(f"s{i} long" for i in range(simhash.LANES))]))
-    assert {r["id"]: r["component"] for r in simhash.signed_groups(signed, 0.8).collect()} == {0: 0, 1: 1, 2: 1}
+    texts = spark.createDataFrame([(0, "one"), (1, "two"), (2, "two")], "id long, t string")
+    assert {r["id"]: r["component"] for r in simhash.signed_groups(signed, texts, 5, 0.8).collect()} == {0: 0, 1: 1, 2: 1}
+
+
+def test_near_dedup_decides_by_exact_jaccard(spark):
+    """Pairs of 0.75 to 0.79 stay apart, those of 0.8 to 0.85 are linked but for what the index misses."""
+    rng = np.random.default_rng(9)
+    rows, near = [], set()
+    for k in range(120):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, 204)]
+        cut = int(rng.integers(16, 23)) if k % 2 else int(rng.integers(24, 29))
+        other = own[:-cut] + [f"v{x}" for x in rng.integers(0, 10**6, cut)]
+        a, b = ({" ".join(t[i : i + 5]) for i in range(200)} for t in (own, other))
+        similarity = len(a & b) / len(a | b)
+        assert (0.8 <= similarity <= 0.86) == bool(k % 2) and similarity > 0.75
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+        near |= {2 * k + 1} if k % 2 else set()
+    gone = {i for i, _ in rows} - {r["doc_id"] for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone <= near and len(gone) >= 0.95 * len(near), (len(gone - near), len(near - gone))
 
 
 def test_toxicity(spark):
