@@ -34,12 +34,14 @@ def ridge(df: DataFrame, y: str = "y", alpha: float = 1.0) -> LinearRegression:
 
 
 def fit_predict(df: DataFrame, cols: list[str], model: str, y: str = "y", fold: str = "fold", folds: int = 7) -> DataFrame:
-    """Out-of-fold predictions p of each row, the scaler fitted on the training folds."""
+    """Out-of-fold predictions p of each row, the scaler fitted on the training folds. model:
+    a name of MODELS, or Ridge."""
     a = assembled(df, cols)
     out = None
     for k in range(folds):
-        est = MODELS[model]().setLabelCol(y).setFeaturesCol("scaled").setPredictionCol("p")
-        fitted = Pipeline(stages=[StandardScaler(withMean=True, inputCol="features", outputCol="scaled"), est]).fit(a.where(F.col(fold) != k))
+        train = a.where(F.col(fold) != k)
+        est = (ridge(train, y) if model == "Ridge" else MODELS[model]()).setLabelCol(y).setFeaturesCol("scaled").setPredictionCol("p")
+        fitted = Pipeline(stages=[StandardScaler(withMean=True, inputCol="features", outputCol="scaled"), est]).fit(train)
         part = fitted.transform(a.where(F.col(fold) == k)).drop("features", "scaled")
         out = part if out is None else out.unionByName(part)
     return out

@@ -539,20 +539,21 @@ def m9_m14_forest_cv(i: Inputs) -> DataFrame:
 @query()
 def m6_m7_linear_cv(i: Inputs) -> DataFrame:
     d = splits.contiguous_folds(i.matrix(), "row_id", 3)
-    return metrics.scores(models.fit_predict(d, FEATURES, "LR", folds=3), ["fold"])
+    scored = [models.fit_predict(d, FEATURES, m, folds=3).withColumn("model", F.lit(m)) for m in ("LR", "Ridge", "Lasso")]
+    return metrics.scores(scored[0].unionByName(scored[1]).unionByName(scored[2]), ["model", "fold"])
 
 
 @query()
 def m22_permutation_importance(i: Inputs) -> DataFrame:
     d = i.matrix()
-    return models.permutation_importance(d, models.MODELS["LR"]().setLabelCol("y").fit(models.assembled(d, FEATURES[:5])), FEATURES[:5])
+    return models.permutation_importance(d, models.MODELS["LR"]().setLabelCol("y").fit(models.assembled(d, FEATURES)), FEATURES, repeats=30)
 
 
 @query()
 def m23_sampled_attribution(i: Inputs) -> DataFrame:
     d = i.matrix()
-    m = models.MODELS["RF"]().setLabelCol("y").fit(models.assembled(d, FEATURES[:4]))
-    return models.sampled_attribution(d, m, FEATURES[:4], d.orderBy("row_id").limit(4))
+    m = models.MODELS["RF"]().setLabelCol("y").fit(models.assembled(d, FEATURES))
+    return models.sampled_attribution(d, m, FEATURES, d.orderBy("row_id").limit(4))
 
 
 @query()
@@ -562,4 +563,7 @@ def m26_m29_m30_clusters(i: Inputs) -> DataFrame:
 
 @query()
 def a36_m25_centroids(i: Inputs) -> DataFrame:
-    return models.principal_components(i.matrix(), FEATURES, 2, ["row_id", "city"]).groupBy("city").agg(F.avg("pc0").alias("pc0"), F.avg("pc1").alias("pc1"))
+    """a < b: the centroids of two cities in component space and their distance."""
+    c = models.principal_components(i.matrix(), FEATURES, 2, ["row_id", "city"]).groupBy("city").agg(F.avg("pc0").alias("pc0"), F.avg("pc1").alias("pc1"))
+    side = lambda s: c.select(F.col("city").alias(s), F.col("pc0").alias(f"{s}_pc0"), F.col("pc1").alias(f"{s}_pc1"))
+    return side("a").join(side("b"), F.col("a") < F.col("b")).withColumn("distance", F.hypot(F.col("a_pc0") - F.col("b_pc0"), F.col("a_pc1") - F.col("b_pc1")))

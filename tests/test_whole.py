@@ -40,3 +40,22 @@ def test_contraction_of_all_edges(spark):
     ends = {k for k, d in degree.items() if d not in (2, 4)}
     direct = {(c, u, v) for c, u, v in edges if (c, u) in ends and (c, v) in ends}
     assert direct and direct <= {(r["city"], r["u"], r["v"]) for r in catalog.gf1_contraction(i).collect()}
+
+
+def test_linear_models_are_all_scored(spark):
+    got = {(r["model"], r["fold"]) for r in catalog.m6_m7_linear_cv(Inputs(spark, "/root/testdata/sf0.001")).collect()}
+    assert got == {(m, k) for m in ("LR", "Ridge", "Lasso") for k in range(3)}
+
+
+def test_centroid_distances(spark):
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    got = catalog.a36_m25_centroids(i).collect()
+    n = i.matrix().where("city is not null").select("city").distinct().count()
+    assert len(got) == n * (n - 1) // 2
+    assert all(abs(r["distance"] ** 2 - (r["a_pc0"] - r["b_pc0"]) ** 2 - (r["a_pc1"] - r["b_pc1"]) ** 2) < 1e-9 for r in got)
+
+
+def test_every_feature_is_attributed(spark):
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    assert {r["feature"] for r in catalog.m22_permutation_importance(i).collect()} == set(catalog.FEATURES)
+    assert {r["feature"] for r in catalog.m23_sampled_attribution(i).select("feature").distinct().collect()} == set(catalog.FEATURES)
