@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 #: The white space of every contract here: space and the five controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
@@ -61,11 +62,6 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lower_ascii(c: Column) -> Column:
-    """c with A-Z in lower case; other letters stay as they are."""
-    return F.translate(c, UPPER, LOWER)
-
-
 def free_name(taken: Sequence[str], wish: str) -> str:
     """wish, or wish with underscores before it, so that no column of the input clashes."""
     low = {t.lower() for t in taken}
@@ -74,5 +70,16 @@ def free_name(taken: Sequence[str], wish: str) -> str:
     return wish
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which at its end gives Arrow's unused memory back: Python workers outlive tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

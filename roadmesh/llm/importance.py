@@ -40,7 +40,7 @@ GOOD_COST = 8.0
 TEMPER = 400.0
 SHRINK, PRIOR = 32, 2.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_CACHED = 500_000
+_CACHED = 200_000
 
 
 class Hasher:

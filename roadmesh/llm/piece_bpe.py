@@ -13,7 +13,9 @@ a time with a heap; so the result is exact for every text.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text; characters
 that the vocabulary lacks become byte pieces; ids that form no valid UTF-8 decode to
-U+FFFD for each bad byte.
+U+FFFD for each bad byte. Repeated rows are coded each, an empty table gives none. A very
+long text is coded whole, in memory linear in it. Extra columns stay, whatever their names:
+if one is named like the ids, the ids' column gets underscores before its name.
 """
 
 from __future__ import annotations
@@ -30,10 +32,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import free_name, lean
+
 BLANK = "▁"
 LONG = 400
-#: Words that one Python worker remembers before it starts anew.
-CACHED_WORDS = 600_000
+#: Words that a task remembers before it starts anew; about 300 bytes each.
+CACHED_WORDS = 250_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -75,6 +79,7 @@ class PieceBPE:
         self.char_ids = np.full(max(chars) + 2, self.unknown, np.int32)
         self.char_ids[list(chars)] = list(chars.values())
         self.decimal = [str(i) for i in range(n)]
+        self.numbers = list(range(self.unknown + 1))  # one object per id, however often words hold it
         self.octets = [names[i].replace(BLANK, " ").encode() if i in scores else b"" for i in range(n)]
         for i in range(n):
             if lib.is_byte(i):
@@ -174,7 +179,7 @@ class PieceBPE:
         char = np.flatnonzero(left)
         ids = final[char]
         odd = set(np.searchsorted(bounds, char[ids >= self.size], "right").tolist())
-        ids = ids.tolist()
+        ids = list(map(self.numbers.__getitem__, ids.tolist()))
         for j, k in enumerate(short):
             a, b = ends[j], ends[j + 1]
             if j + 1 in odd:
@@ -253,8 +258,11 @@ def load(model_path: str) -> PieceBPE:
 
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with a column of ids for each text and, if named, one with the text decoded
-    from them. model_path must be readable on every executor. No shuffle; rows stay
-    where they are read."""
+    from them; a name that docs has already gets underscores before it. model_path must be
+    readable on every executor. No shuffle; rows stay where they are read."""
+    ids = free_name(docs.columns, ids)
+    decoded = decoded and free_name([*docs.columns, ids], decoded)
+    place = docs.columns.index(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{ids}` array<int>", *([f"`{decoded}` string"] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,13 +270,14 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = bpe.encode(part.column(text).to_pylist())
+                found = bpe.encode(part.column(place).to_pylist())
                 cols = [*part.columns, pa.array(found, pa.list_(pa.int32()))]
                 if decoded:
                     cols.append(pa.array([bpe.decode(x) for x in found], pa.string()))
                 yield pa.RecordBatch.from_arrays(cols, [*part.schema.names, ids, *([decoded] if decoded else [])])
+        bpe.cache.clear()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def encoding_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,5 +298,6 @@ def encoding_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+        bpe.cache.clear()
 
-    return docs.select(key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
