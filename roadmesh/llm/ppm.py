@@ -1,46 +1,56 @@
 """Language-model scoring by prediction by partial matching (PPM) over bytes.
 
 A pretrained byte-context trie: for contexts of up to ORDER bytes it holds how often each
-byte followed. A byte's probability comes from the longest context that has seen it; each
-context left on the way costs its escape probability, and the bytes that the longer context
-had seen are excluded from the shorter one's distribution (symbol exclusion). Escape
-estimate: (mass of pruned bytes + distinct bytes) / (total + distinct bytes). Below order 0
-all bytes not yet excluded are equally likely.
-
-A text is its tokens, A-Z lower-cased: words, each ended by one blank, then one end symbol
-(a line feed, which no word holds). Contexts start anew with each word, so a word's code
-length is the same wherever it stands: the trie is trained on the table of distinct words
-with their counts, each distinct word is scored once, and a document's score is the sum
-over its words. The probabilities of all token sequences sum to at most 1.
-
-Every training word is counted, at every size alike. Trie entries of less than
-1 / ENTRIES of all training bytes are pruned (their mass goes to the escape), so a trie has
-at most ENTRIES entries per order; words of at least 1 / HOT of all training tokens, at
-most HOT of them, are scored where the documents are read, and only the others are
-shuffled, so no shuffle has a frequent key. Only these two bounded tables reach the driver.
+byte followed in the training texts. A byte is coded in the longest context that was seen at
+least LEAST times; each context left on the way costs its escape probability, and the bytes
+that the longer context had seen are excluded from the shorter one's distribution (symbol
+exclusion). Of a context seen n times with d different bytes, after exclusion, a byte seen c
+times has (2c - 1) / 2n and the escape d / 2n. Below order 0 all bytes not yet excluded are
+equally likely.
+
+A text is its tokens, A-Z lower-cased: words, each ended by one blank, then one end symbol (a
+line feed, which no word holds). Contexts run on over the blank into the last TAIL bytes of
+the word before. So a token's code length is the sum of two pieces': the head (those TAIL
+bytes, the blank and the token's first HEAD bytes) and, for the bytes after these, the word
+by itself, as their contexts reach back no further than its blank. Both kinds of pieces are
+counted over all training texts, each distinct piece is scored once, and a document's score
+is the sum over its pieces. The probabilities of all token sequences sum to at most 1.
+
+No entry is pruned and no count is capped: pieces and trie are tables, which grow with the
+corpus. Contexts are keyed with the latest byte first, so that a sort puts all contexts with
+the same ending next to each other: a task takes the contexts that share their last three
+bytes and finds there all that the orders 3 to ORDER need; orders 0 to 2 (2^24 entries at the
+very most) are sent to all tasks. The most frequent words, heads and trie entries (bounded
+numbers of them) are looked up where texts and pieces are read, all others by joins; this
+changes no result, but no shuffle has a frequent key.
 
 Edge cases: null and empty texts are one end token; a null id is held out (its checksum is
 unknown); without training rows every byte has probability 1/256 and the base's counts are
-0. Repeated rows each count and each get their row.
+0. Repeated rows each count and each get their row; an empty table gives none. Very long
+texts are counted and scored whole, in memory linear in the text. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, stored
+from .common import LOWER_TABLE, lean, stored
 
-ORDER = 4
-ENTRIES = 1 << 18
-HOT = 1 << 16
+ORDER, TAIL, HEAD, LEAST = 6, 2, 5, 8
+#: So many pieces and trie entries at most are looked up without a join.
+HOT_WORDS, HOT_HEADS, HOT_KEYS = 1 << 16, 1 << 18, 1 << 18
 END = b"\n"
 _FLUSH = 300_000
+_SLICE = 512
+_SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -48,199 +58,336 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(LOWER_TABLE).split()
 
 
-def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all bytes of the words, ends included: the byte, its context of ORDER bytes
-    (zeros before the word), and where each word starts."""
-    lengths = np.fromiter((len(w) + (w != END) for w in words), np.int64, len(words))
-    flat = np.frombuffer(b"".join(w if w == END else w + b" " for w in words), np.uint8).astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
-    place = np.arange(len(flat)) - np.repeat(starts, lengths)
-    context = np.zeros(len(flat), np.int64)
+def heads(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The text's number and the head of each token, end tokens included: TAIL bytes of the
+    word before (a line feed before the first one) and HEAD bytes of the token and its blank,
+    zeros where there are fewer, packed into a number."""
+    flat = np.frombuffer(b"".join(t + END for t in texts), np.uint8).astype(np.int64)
+    ends_at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    space = _SPACE[flat]
+    start = np.flatnonzero(~space & np.r_[True, space[:-1]][: len(flat)])
+    end = np.flatnonzero(~space & np.r_[space[1:], True][: len(flat)]) + 1
+    text = np.searchsorted(ends_at, start, "right")
+    # end tokens take their place behind the last word of their text
+    every = np.concatenate([text, np.arange(len(texts))])
+    order = np.lexsort((np.r_[start, ends_at], every))
+    tail = np.where(end - start > 1, flat[np.maximum(end - 2, 0)], 0) << 8 | flat[end - 1]
+    tail = np.concatenate([tail, np.zeros(len(texts), np.int64)])[order]
+    begin = np.zeros(len(start), np.int64)
+    for j in range(HEAD):
+        at = start + j
+        begin = begin << 8 | np.where(at < end, flat[np.minimum(at, len(flat) - 1)], np.where(at == end, 32, 0))
+    begin = np.concatenate([begin, np.full(len(texts), END[0] << 8 * (HEAD - 1), np.int64)])[order]
+    every = every[order]
+    before = np.r_[0, tail[:-1]][: len(tail)]
+    before[np.r_[True, every[1:] != every[:-1]][: len(every)]] = END[0]
+    return every, before << 8 * HEAD | begin
+
+
+def _binary(head: np.ndarray) -> pa.Array:
+    """Heads as pieces: a blank, with which no word begins, and the head's bytes."""
+    wide = (head | 32 << 8 * (TAIL + HEAD)).astype(">i8")
+    return pa.Array.from_buffers(pa.binary(8), len(wide), [None, pa.py_buffer(wide.tobytes())]).cast(pa.binary())
+
+
+def _spelled(piece: bytes) -> tuple[bytes, int]:
+    """The bytes of a piece with the context before them, and how many of them aren't its own."""
+    if piece[0] != 32:
+        return b" " + piece + (b" " if piece != END else b""), 1 + HEAD
+    body = piece[1 + TAIL :]
+    stop = 0 if body[:1] == END else body.find(b" ")
+    return piece[1 : 1 + TAIL] + b" " + (body[: stop + 1] if stop >= 0 else body), TAIL + 1
+
+
+def trie_keys(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte that the pieces code: the piece's number and the key, which is the ORDER
+    bytes before it, the latest one first, and the byte."""
+    told = [(i, *_spelled(p)) for i, p in enumerate(pieces) if p[0] == 32 or len(p) >= HEAD]
+    number = np.array([i for i, _, _ in told], np.int64)
+    length = np.fromiter((len(s) for _, s, _ in told), np.int64, len(told))
+    flat = np.frombuffer(b"".join(s for _, s, _ in told), np.uint8).astype(np.int64)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
+    key = flat.copy()
     for k in range(1, ORDER + 1):
-        context[k:] |= np.where(place[k:] >= k, flat[:-k], 0) << (8 * (k - 1))
-    return flat, context, starts
+        key[k:] |= np.where(place[k:] >= k, flat[:-k], 0) << 8 * (ORDER + 1 - k)
+    own = place >= np.repeat(np.array([n for _, _, n in told], np.int64), length)
+    return np.repeat(number, length)[own], key[own]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, n: partial counts; words of held-out texts count 0."""
-    seen: Counter = Counter()
+class Level(NamedTuple):
+    """The trie's entries (context and byte) of one order that were seen, and its contexts."""
+
+    entry: np.ndarray
+    n: np.ndarray
+    node: np.ndarray
+    first: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+
+
+def level(entry: np.ndarray, n: np.ndarray) -> Level:
+    entry, place = np.unique(entry, return_inverse=True)
+    n = np.bincount(place, n, len(entry)).astype(np.float64)
+    node, first = np.unique(entry >> 8, return_index=True)
+    total = np.add.reduceat(n, first) if len(first) else np.zeros(0)
+    return Level(entry, n, node, first, total, np.diff(np.r_[first, len(entry)]).astype(np.float64))
+
+
+def shorter(entry: np.ndarray, by: int = 1) -> np.ndarray:
+    """The entries without the oldest bytes of their contexts."""
+    return entry >> 8 * (by + 1) << 8 | entry & 255
+
+
+def excluded(long: Level, short: Level) -> np.ndarray:
+    """How often, in the next shorter context, the bytes were seen that each context of long saw."""
+    if not len(long.entry):
+        return np.zeros(0)
+    return np.add.reduceat(short.n[np.searchsorted(short.entry, shorter(long.entry))], long.first)
+
+
+class Trie:
+    """Scores keys: orders 0 to 2 come from ``low`` (entries of order 2), the others from
+    the keys of a block, which holds all keys of the contexts that end like its own."""
+
+    LOW = 2
+
+    def __init__(self, entry: np.ndarray, n: np.ndarray):
+        self.low = [level(shorter(entry, self.LOW - k), n) if k < self.LOW else level(entry, n) for k in range(self.LOW + 1)]
+        self.lost = [excluded(self.low[k + 1], self.low[k]) for k in range(self.LOW)]
+
+    def log10(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The log10 probability of each of a block's keys' bytes; n: how often each was seen."""
+        seen = n > 0
+        levels = [*self.low, *(level(shorter(keys[seen], ORDER - k) if k < ORDER else keys[seen], n[seen]) for k in range(self.LOW + 1, ORDER + 1))]
+        lost = [*self.lost, *(excluded(levels[k + 1], levels[k]) for k in range(self.LOW, ORDER))]
+        score, open_ = np.zeros(len(keys)), np.arange(len(keys))
+        came = np.full(len(keys), -1)  # the context of the order before, if it was tried
+        for k in range(ORDER, -1, -1):
+            own = levels[k]
+            if not len(own.node) or not len(open_):
+                continue
+            entry = shorter(keys[open_], ORDER - k) if k < ORDER else keys[open_]
+            mine = np.minimum(np.searchsorted(own.node, entry >> 8), len(own.node) - 1)
+            tried = (own.node[mine] == entry >> 8) & ((own.total[mine] >= LEAST) | (k == 0))
+            at = np.minimum(np.searchsorted(own.entry, entry), len(own.entry) - 1)
+            hit = tried & (own.entry[at] == entry)
+            left, kinds, before = own.total[mine], own.distinct[mine], came[open_]
+            if k < ORDER and len(levels[k + 1].node):
+                left = left - np.where(before >= 0, lost[k][before], 0.0)
+                kinds = kinds - np.where(before >= 0, levels[k + 1].distinct[before], 0.0)
+            gone = tried & ~hit & (kinds > 0)
+            score[open_[hit]] += np.log10((2 * own.n[at[hit]] - 1) / (2 * left[hit]))
+            score[open_[gone]] += np.log10(kinds[gone] / (2 * left[gone]))
+            came[open_] = np.where(tried, mine, -1)
+            open_ = open_[~hit]
+        rest = 256.0 - (self.low[0].distinct[0] if len(self.low[0].node) else 0.0)
+        score[open_] -= np.log10(max(rest, 1.0))
+        return score
+
+
+def _count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """piece, n: partial counts; pieces of held-out texts count 0."""
+    words: Counter = Counter()
+    some: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged():
+        head, place = np.unique(np.concatenate([h for h, _ in some]), return_inverse=True)
+        return head, np.bincount(place, np.concatenate([n for _, n in some]), len(head)).astype(np.int64)
 
     def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        seen.clear()
-        return out
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["piece", "n"])
+            words.clear()
+        if some:
+            head, n = merged()
+            yield pa.RecordBatch.from_arrays([_binary(head), pa.array(n)], ["piece", "n"])
+            some.clear()
 
     for b in batches:
-        for text, out in zip(b.column(0), b.column(1).to_pylist()):
-            words = tokens(text.as_py())
-            if out:
-                for w in words:
-                    seen.setdefault(w, 0)
-            else:
-                seen.update(words)
-                seen[END] += 1
-            if len(seen) > _FLUSH:
-                yield flush()
-    if seen:
-        yield flush()
-
-
-def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, n: partial counts of (context, byte) over weighted words."""
+        for at in range(0, b.num_rows, _SLICE):
+            part = b.slice(at, _SLICE)
+            out = part.column(1).to_numpy(zero_copy_only=False)
+            texts = [(t or "").encode().translate(LOWER_TABLE) for t in part.column(0).to_pylist()]
+            for text, held in zip(texts, out):
+                if held:
+                    for w in text.split():
+                        words.setdefault(w, 0)
+                else:
+                    words.update(text.split())
+            trained = int((~out).sum())
+            words[END] += trained
+            number, head = heads(texts)
+            kinds, place = np.unique(head, return_inverse=True)
+            some.append((kinds, np.bincount(place, ~out[number], len(kinds)).astype(np.int64)))
+            if len(some) > 64:
+                some[:] = [merged()]
+            if len(words) > _FLUSH or some and len(some[0][0]) > 4 * _FLUSH:
+                yield from flush()
+    yield from flush()
+
+
+def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, n (how often its byte was seen there in training), m (how many pieces hold it)."""
     for b in batches:
         for at in range(0, b.num_rows, 50_000):
-            words, weights = b.column(0).slice(at, 50_000).to_pylist(), b.column(1).slice(at, 50_000).to_numpy(zero_copy_only=False)
-            byte, context, starts = _symbols(words)
-            weight = np.repeat(weights, np.diff(np.r_[starts, len(byte)]))
-            key, place = np.unique(context << 8 | byte, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(place, weight, len(key)).astype(np.int64))], ["key", "n"])
+            part = b.slice(at, 50_000)
+            number, key = trie_keys(part.column(0).to_pylist())
+            key, place = np.unique(key, return_inverse=True)
+            n = np.bincount(place, part.column(1).to_numpy(zero_copy_only=False)[number], len(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64)), pa.array(np.bincount(place, minlength=len(key)).astype(np.int64))], ["key", "n", "m"])
 
 
-class Trie:
-    """The pruned trie with its escapes, as sorted arrays."""
-
-    def __init__(self, entry: np.ndarray, n: np.ndarray, total: np.ndarray):
-        """entry: order << 40 | context << 8 | byte; n: its count; total: its context's,
-        pruned bytes included. Orders use the context's last bytes."""
-        by = np.argsort(entry)
-        self.entry, self.n = entry[by], n[by].astype(np.float64)
-        total = total[by].astype(np.float64)
-        self.node, first, distinct = np.unique(self.entry >> 8, return_index=True, return_counts=True)
-        self.total, self.distinct = total[first], distinct.astype(np.float64)
-        kept = np.add.reduceat(self.n, first) if len(first) else np.zeros(0)
-        with np.errstate(divide="ignore"):
-            self.escape = np.log10((self.total - kept + self.distinct) / (self.total + self.distinct))
-        # what a node's bytes weigh in the next shorter context, and what is left there
-        order, context = self.node >> 32, self.node & 0xFFFFFFFF
-        shorter = np.where(order > 0, (order - 1) << 32 | context & ((1 << np.maximum(8 * (order - 1), 0)) - 1), -1)
-        below = np.searchsorted(self.node, shorter)
-        below = np.minimum(below, max(len(self.node) - 1, 0))
-        parent_entry = np.repeat(shorter, distinct) << 8 | self.entry & 255
-        at = np.minimum(np.searchsorted(self.entry, parent_entry), max(len(self.entry) - 1, 0))
-        lost = np.where(self.entry[at] == parent_entry, self.n[at], 0.0) if len(at) else np.zeros(0)
-        lost = np.add.reduceat(lost, first) if len(first) else lost
-        if len(first):
-            more = self.distinct[below] - self.distinct
-            self.left = self.total[below] - lost + more
-            rest = self.total[below] - kept[below] + more
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.left_escape = np.where(self.left > 0, np.log10(rest / self.left), 0.0)
-        else:
-            self.left = self.left_escape = np.zeros(0)
-
-    def log10_words(self, words: list[bytes]) -> np.ndarray:
-        """The log10 probability of each word with its end."""
-        if not words:
-            return np.zeros(0)
-        byte, context, starts = _symbols(words)
-        score = np.zeros(len(byte))
-        state = np.full(len(byte), -1)  # the node that was just left
-        open_ = np.arange(len(byte))
-        for order in range(ORDER, -1, -1):
-            if not len(self.entry) or not len(open_):
-                break
-            node = order << 32 | context[open_] & ((1 << 8 * order) - 1)
-            key = node << 8 | byte[open_]
-            at = np.minimum(np.searchsorted(self.entry, key), len(self.entry) - 1)
-            hit = self.entry[at] == key
-            mine = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
-            known = self.node[mine] == node
-            came = state[open_]
-            held = came >= 0
-            den = np.where(held, self.left[came], self.total[mine] + self.distinct[mine])
-            score[open_[hit]] += np.log10(self.n[at[hit]] / den[hit])
-            gone = ~hit & known
-            score[open_[gone]] += np.where(held, self.left_escape[came], self.escape[mine])[gone]
-            state[open_[gone]] = mine[gone]
-            open_ = open_[~hit]
-        if len(open_):
-            rest = 256.0 - (self.distinct[0] if len(self.node) and self.node[0] == 0 else 0.0)
-            score[open_] -= np.log10(max(rest, 1.0))
-        return np.add.reduceat(score, starts)
-
-
-def train(words: DataFrame, entries: int = ENTRIES) -> Trie:
-    """The trie of words(word, n)."""
-    top = words.where("n > 0").mapInArrow(_count_bytes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"((key >> 8) & {(1 << 8 * k) - 1}L)").alias("c")) for k in range(ORDER + 1)])).alias("o")
-    rows = top.select(orders, (F.col("key") % 256).alias("byte"), "n").select((F.shiftleft(F.col("o.k").cast("long"), 32) + F.col("o.c")).alias("node"), "byte", "n")
-    rows = stored(rows.groupBy("node", "byte").agg(F.sum("n").alias("n")))
-    all_bytes = rows.where(F.shiftright("node", 32) == 0).agg(F.sum("n")).first()[0] or 0
-    kept = rows.where(F.col("n") >= all_bytes / entries)
-    totals = stored(rows.groupBy("node").agg(F.sum("n").alias("total")))
-    got = kept.join(totals, "node").select((F.shiftleft("node", 8) + F.col("byte")).alias("entry"), "n", "total").toArrow()
-    return Trie(*(got.column(c).to_numpy().astype(np.int64) for c in ("entry", "n", "total")))
-
-
-def _scorer(shared):
+def _score_keys(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, whole = shared.value["trie"], shared.value["whole"]
+        """Sorted by key; contexts that may go on in the next batch are held back."""
+        trie, held = shared.value, None
+
+        def told(key, n, m):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(m), pa.array(trie.log10(key, n))], ["key", "m", "score"])
+
         for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                part = b.slice(at, 20_000)
-                n = part.column(1).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array((n > 0).astype(np.int64)), pa.array(np.log10((n + 0.1) / whole)), pa.array(trie.log10_words(part.column(0).to_pylist()))], ["word", "known", "base", "score"])
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            if held is not None:
+                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+            if not len(cols[0]):
+                continue
+            ending = cols[0] >> 32
+            cut = int(np.searchsorted(ending, ending[-1]))
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield told(*(c[:cut] for c in cols))
+        if held is not None and len(held[0]):
+            yield told(*held)
 
     return run
 
 
-_PARTS = "row long, doc_id long, word binary, tf long, n_tokens long, n_known long, base double, score double"
+def train(pieces: DataFrame) -> DataFrame:
+    """key, m, score (log10 probability) of all keys of pieces(piece, n)."""
+    keys = stored(pieces.select("piece", "n").mapInArrow(_count_keys, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    low = keys.where("n > 0").groupBy((F.shiftleft(F.shiftright("key", 8 * (ORDER - Trie.LOW + 1)), 8) + F.col("key") % 256).alias("entry")).agg(F.sum("n").alias("n")).toArrow()
+    shared = keys.sparkSession.sparkContext.broadcast(Trie(low.column("entry").to_numpy(), low.column("n").to_numpy()))
+    dealt = keys.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").select("key", "n", "m")
+    return stored(dealt.mapInArrow(lean(_score_keys(shared)), "key long, m long, score double"))
+
+
+def most_frequent(df: DataFrame, col: str, most: int) -> Column:
+    """A condition on col that holds for the rows of its highest values, for most rows at most."""
+    bin_ = F.floor(16 * F.log2(F.greatest(F.col(col), F.lit(1))))
+    least, n = None, 0
+    for b, count in sorted(df.groupBy(bin_.alias("b")).count().collect(), reverse=True):
+        n += count
+        if n > most:
+            break
+        least = b
+    return F.lit(False) if least is None else bin_ >= least
+
+
+def score_pieces(pieces: DataFrame, keys: DataFrame, shared) -> DataFrame:
+    """piece, n and score of pieces(piece, n); shared: the most frequent keys and their scores."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, value = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 50_000):
+                part = b.slice(at, 50_000)
+                number, key = trie_keys(part.column(0).to_pylist())
+                place = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                score = np.bincount(number, np.where(hot[place] == key, value[place], 0.0), part.num_rows)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score)], ["piece", "n", "score"])
+
+    def other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, _ = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 50_000):
+                names = b.column(0).slice(at, 50_000)
+                number, key = trie_keys(names.to_pylist())
+                rare = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] != key
+                pair = np.unique(np.column_stack([number[rare], key[rare]]), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(pair[0][:, 0])), pa.array(np.ascontiguousarray(pair[0][:, 1])), pa.array(pair[1].astype(np.int32))], ["piece", "key", "tf"])
+
+    rest = pieces.select("piece").mapInArrow(other, "piece binary, key long, tf int").join(keys.select("key", "score"), "key")
+    rest = rest.groupBy("piece").agg(F.sum(F.col("tf") * F.col("score")).alias("score")).select("piece", F.lit(0).cast("long").alias("n"), "score")
+    both = pieces.select("piece", "n").mapInArrow(known, "piece binary, n long, score double").unionByName(rest)
+    return both.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
+
+
+_SUMS = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
 
 
 def _document_parts(shared):
-    """Of each document: a row with the sums over its frequent words, and a row for each
-    other word. The first kind has a word of its own that no text holds."""
+    """Of each document: a row with the sums over its frequent pieces, and a row for each
+    other piece. The first kind has a piece of its own that no text holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value["hot"]
-        names = [x.split()[0] for x in _PARTS.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        hot_words, hot_heads, value = shared.value["words"], shared.value["heads"], shared.value["scores"]
         for b in batches:
-            cols: list[list] = [[] for _ in names]
-            for row, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                words = tokens(text.as_py())
-                words.append(END)
-                known, base, score, count = 0, 0.0, 0.0, Counter(words)
-                rare = []
-                for w, n in count.items():
-                    if x := hot.get(w):
-                        known, base, score = known + n * x[0], base + n * x[1], score + n * x[2]
-                    else:
-                        rare.append(w)
-                for c, v in zip(cols, (row, doc_id, b" %d" % row, 0, len(words), known, base, score)):
-                    c.append(v)
-                k = len(rare)
-                for c, v in zip(cols, ([row] * k, [doc_id] * k, rare, [count[w] for w in rare], [0] * k, [0] * k, [0.0] * k, [0.0] * k)):
-                    c.extend(v)
-                if len(cols[0]) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
-                    cols = [[] for _ in names]
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+            for at in range(0, b.num_rows, _SLICE):
+                part = b.slice(at, _SLICE)
+                rows = part.column(0).to_numpy(zero_copy_only=False)
+                texts = [(t or "").encode().translate(LOWER_TABLE) for t in part.column(2).to_pylist()]
+                number, head = heads(texts)
+                order = np.lexsort((head, number))
+                number, head = number[order], head[order]
+                first = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (number[1:] != number[:-1])][: len(head)])
+                tf = np.diff(np.r_[first, len(head)])
+                number, head = number[first], head[first]
+                place = np.minimum(np.searchsorted(hot_heads, head), len(hot_heads) - 1)
+                hit = hot_heads[place] == head
+                score = np.bincount(number[hit], tf[hit] * value[place[hit]], len(texts))
+                n_tokens, known, base, rare, owner, often = [], [], [], [], [], []
+                for i, text in enumerate(texts):
+                    words = text.split()
+                    words.append(END)
+                    k, s, t = 0, 0.0, 0.0
+                    for w, n in Counter(words).items():
+                        if x := hot_words.get(w):
+                            k, s, t = k + n, s + n * x[0], t + n * x[1]
+                        else:
+                            rare.append(w), owner.append(i), often.append(n)
+                    n_tokens.append(len(words)), known.append(k), base.append(s)
+                    score[i] += t
+                miss = ~hit
+                own = pa.array([b"  %d" % r for r in rows.tolist()], pa.binary())
+                piece = pa.concat_arrays([own, pa.array(rare, pa.binary()), _binary(head[miss])])
+                row = np.concatenate([rows, rows[np.array(owner, np.int64)], rows[number[miss]]])
+                count = np.concatenate([np.zeros(len(rows), np.int64), np.array(often, np.int64), tf[miss]])
+                none = len(row) - len(rows)
+                sums = [part.column(1), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score)]
+                filled = [pa.concat_arrays([s.cast(t), pa.nulls(none, t)]) for s, (_, t) in zip(sums, _SUMS)]
+                yield pa.RecordBatch.from_arrays([pa.array(row), piece, pa.array(count.astype(np.int32)), *filled], ["row", "piece", "tf", *(n for n, _ in _SUMS)])
 
     return run
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, hot: int = HOT, entries: int = ENTRIES) -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, hot: tuple[int, int, int] = (HOT_WORDS, HOT_HEADS, HOT_KEYS)) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
-    Learns from rows whose crc32(key as text) mod folds isn't 0."""
-    spark = docs.sparkSession
-    out = F.coalesce(F.crc32(F.col(key).cast("string")) % folds == 0, F.lit(True))
-    words = docs.select(text, out.alias("out")).mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = stored(words)
-    seen, distinct = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    trie = train(words, entries)
+    Learns from rows whose crc32(key as text) mod folds isn't 0. hot: at most so many words,
+    heads and trie entries are looked up without a join."""
+    context = docs.sparkSession.sparkContext
+    out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % folds == 0, F.lit(True))
+    pieces = docs.select(F.col(text).alias("text"), out(key).alias("out")).mapInArrow(lean(_count_pieces), "piece binary, n long")
+    pieces = stored(pieces.groupBy("piece").agg(F.sum("n").alias("n")))
+    is_word = F.substring("piece", 1, 1) != F.lit(b" ")
+    seen, distinct = pieces.where(is_word & (F.col("n") > 0)).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     whole = seen + 0.1 * (distinct + 1)
-    frequent = F.col("n") * hot >= seen if seen else F.lit(False)
-    top = words.where(frequent & (F.col("n") > 0)).toArrow()
-    names, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.float64)
-    table = dict(zip(names, zip([1] * len(names), np.log10((n + 0.1) / whole).tolist(), trie.log10_words(names).tolist())))
-    shared = spark.sparkContext.broadcast({"trie": trie, "whole": whole, "hot": table})
-    scores = words.where(~frequent | (F.col("n") == 0)).mapInArrow(_scorer(shared), "word binary, known long, base double, score double")
-    scores = scores.select(F.col("word").alias("w"), F.col("known").alias("k"), F.col("base").alias("b"), F.col("score").alias("s"))
+    base = F.log10((F.col("n") + 0.1) / whole)
+    keys = train(pieces)
+    top = keys.where(most_frequent(keys, "m", hot[2])).select("key", "score").toArrow().sort_by("key")
+    shared = context.broadcast((np.r_[top.column("key").to_numpy(), 1 << 62], np.r_[top.column("score").to_numpy(), 0.0]))
+    seen_pieces = pieces.where("n > 0")
+    frequent = F.coalesce((F.col("n") > 0) & F.when(is_word, most_frequent(seen_pieces.where(is_word), "n", hot[0])).otherwise(most_frequent(seen_pieces.where(~is_word), "n", hot[1])), F.lit(False))
+    top = score_pieces(pieces.where(frequent), keys, shared).withColumn("base", base).toArrow()
+    names, value, bases = top.column("piece").to_pylist(), top.column("score").to_numpy(), top.column("base").to_numpy()
+    is_head = np.array([p[0] == 32 for p in names], bool)
+    head = np.array([int.from_bytes(p[1:], "big") for p in names if p[0] == 32], np.int64)
+    order = np.argsort(head)
+    words = {p: (float(x), float(y)) for p, x, y in zip(names, bases, value) if p[0] != 32}
+    told = context.broadcast({"words": words, "heads": np.r_[head[order], 1 << 62], "scores": np.r_[value[is_head][order], 0.0]})
+    others = score_pieces(pieces.where(~frequent), keys, shared).select(F.col("piece").alias("p"), F.when(is_word, (F.col("n") > 0).cast("int")).otherwise(0).alias("k"), F.when(is_word, base).otherwise(0.0).alias("b"), F.col("score").alias("s"))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = rows.mapInArrow(_document_parts(shared), _PARTS)
-    joined = parts.join(scores, parts["word"] == scores["w"], "left")
-    plus = lambda own, other: F.sum(F.col(own) + F.coalesce(F.col("tf") * F.col(other), F.lit(0)))
+    parts = rows.mapInArrow(lean(_document_parts(told)), "row long, piece binary, tf int, doc_id long, n_tokens long, n_known long, base double, score double")
+    joined = parts.join(others, parts["piece"] == others["p"], "left")
+    plus = lambda own, other: F.sum(F.coalesce(own, F.lit(0)) + F.coalesce(F.col("tf") * F.col(other), F.lit(0)))
     sums = joined.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), plus("n_known", "k").alias("n_known"), plus("base", "b").alias("base_score"), plus("score", "s").alias("score"))
-    return sums.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(True)).alias("held_out"), "n_tokens", "n_known", F.lit(int(seen)).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(int(seen)).cast("long").alias("train_tokens"), "base_score", "score")
