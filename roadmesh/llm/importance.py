@@ -6,19 +6,23 @@ raw text, all documents. A document's log weight is the sum of log(target / raw)
 n-grams. Documents are drawn without replacement by Gumbel top-k: the k highest sums of
 log weight and seeded Gumbel noise stay, which draws in proportion to the weights.
 
-k is the number of documents whose mean log weight (the sum over n-grams + SHRINK, so that
-few n-grams say little) is at least a bar that the
-half of the labelled sample that trained no model fixes: the bar that errs least on it,
-errors on good text counting GOOD_COST times. Log weights grow with a text's length and so would favour long texts; the
-draw therefore uses the mean less the bar, times TEMPER, as log weight.
+k is the number of documents whose mean log weight (the sum over n-grams, by their number +
+SHRINK, so that few n-grams say little) is at least a bar that the half of the labelled
+sample that trained no model fixes: the bar that errs least on it, errors on good text
+counting GOOD_COST times. Log weights grow with a text's length and so would favour long
+texts; the draw therefore takes the mean, less the bar, times TEMPER: the log weight of a
+text of TEMPER n-grams. A document that far from the bar that the noise of a Gumbel draw
+can't bridge it (about 5 / TEMPER) stays or goes surely, others by chance.
 
 Counts cover all documents; only labels are a bounded sample (LABELLED rows, by hash). The
 models have BUCKETS counts each. The k-th key is found by narrowing histograms, so nothing
-is sorted or gathered in one task.
+is sorted or gathered in one task. Rows whose keys tie with the k-th all stay.
 
 Edge cases: null and empty texts have no n-grams and mean weight 0; their noise decides
 like any other's. Without labels of both kinds everything is kept. Repeated rows are drawn
-each for itself. Rows keep all their columns.
+each for itself; labels of repeated ids count once, the highest of them, with the mean of
+the rows' weights. Very long texts are counted whole, in memory linear in them. An empty
+table gives no rows. ``keep_good`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, stored
+from .common import free_name, lean, stored
 
 BUCKETS = 1 << 16
 LABELLED = 20_000
 GOOD_COST = 8.0
-TEMPER = 400.0
+TEMPER = 20.0
 SHRINK, PRIOR = 32, 2.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _CACHED = 200_000
@@ -143,16 +147,16 @@ def importance_weights(docs: DataFrame, labels: DataFrame, key: str = "doc_id",
     # one half tells what good text is like, the other where the bar lies: on the first half
     # the model would look better than it is
     good = {r[0] for r in sample[::2] if r[1] > 0}
-    counts = docs.select(key, text).mapInArrow(_counter(spark.sparkContext.broadcast(good)), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    counts = docs.select(key, text).mapInArrow(lean(_counter(spark.sparkContext.broadcast(good))), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     at = counts.column("bucket").to_numpy()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[at], target[at] = counts.column("raw").to_numpy(), counts.column("target").to_numpy()
     ratio = log_ratio(raw, target)
     numbered = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    scored = stored(numbered.mapInArrow(_weigher(spark.sparkContext.broadcast(ratio)), "row long, id long, n_grams long, log_weight double"))
+    scored = stored(numbered.mapInArrow(lean(_weigher(spark.sparkContext.broadcast(ratio))), "row long, id long, n_grams long, log_weight double"))
     scored = scored.withColumn("mean_weight", F.col("log_weight") / (F.col("n_grams") + SHRINK))
     marks = spark.createDataFrame([(r[0], float(r[1])) for r in sample[1::2]] or [(None, None)], "id long, y double")
-    told = scored.join(marks, "id").select("mean_weight", "y").limit(4 * labelled).toArrow()
+    told = scored.join(marks, "id").groupBy("id").agg(F.avg("mean_weight").alias("mean_weight"), F.max("y").alias("y")).toArrow()  # a row for each id of the sample
     y, x = told.column("y").to_numpy() > 0, told.column("mean_weight").to_numpy()
     if not y.any() or y.all():
         return scored.withColumn("draw_key", F.lit(0.0)).withColumn("kept", F.lit(True))
@@ -169,5 +173,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     mark = free_name(docs.columns, "row")
     numbered = stored(docs.withColumn(mark, F.monotonically_increasing_id()))
     drawn = importance_weights(numbered, labels, key, text, label, seed, row=mark)
-    gone = drawn.where("not kept").select(F.col("row").alias("gone"))
-    return numbered.join(gone, F.col(mark) == F.col("gone"), "left_anti").drop(mark)
+    gone = drawn.where("not kept").select(F.col("row").alias(mark))
+    return numbered.join(gone, mark, "left_anti").drop(mark)
