@@ -110,13 +110,14 @@ select page_id, host, path, case {rule} end as rule, case {verdict} else 'allow'
 ORACLES: dict[str, str] = {
     "op2_url_filter": _url_sql(),
     "op3_topk": """
-with e as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings where vec_id is not null),
-f as (select vec_id, i, cast(floor(1024 * cast(x as double)) as bigint) as x from e
-      where vec_id not in (select vec_id from e where x is null or not isfinite(x))),
-s as (select q.vec_id as query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) as score
+with n as (select row_number() over () as r, vec_id, embedding from embeddings where vec_id is not null),
+e as (select r, vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from n),
+f as (select r, vec_id, i, cast(floor(1024 * cast(x as double)) as bigint) as x from e
+      where r not in (select r from e where x is null or not isfinite(x))),
+s as (select q.r, q.vec_id as query_id, c.r as other, c.vec_id, cast(sum(q.x * c.x) as bigint) as score
       from f q join f c on q.i = c.i and q.vec_id % 100 = 0 and c.vec_id <> q.vec_id group by all),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
-select query_id, rank, vec_id, score from r where rank <= 10""",
+p as (select *, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from p where rank <= 10""",
     "op5_exact_dedup": r"""
 with n as (
   select doc_id, coalesce(length(text), 0) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),

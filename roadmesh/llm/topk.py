@@ -11,9 +11,11 @@ times shards, as the exact answer over all rows needs; no other pairs are made,
 group returns at most k rows a query.
 
 Edge cases: vectors that are null or hold a null or non-finite component take no part, as
-candidate or query. Vectors of other lengths than a query's are no candidates of it. Ties
-go to the smaller id; rows that repeat an id count as separate candidates, but none of them
-is a candidate of a query with that id. An empty table gives no rows.
+candidate or query; nor do rows with a null id. Vectors of other lengths than a query's are
+no candidates of it. Ties go to the smaller id. Rows that repeat an id count as separate
+candidates, but none of them is a candidate of a query with that id; queries that repeat an
+id have a list each. An empty table gives no rows. Extra columns are ignored, whatever their
+names. Products are exact as long as a score fits a long.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stored
+
 LEAF = 64
-OUT = "query_id long, vec_id long, score long"
+OUT = "query long, query_id long, vec_id long, score long"
 
 
 def quantized(vector: Column, scale: int = 1024) -> Column:
@@ -97,9 +102,9 @@ def _searcher(k: int):
             rows, queries = same[same["kind"] == 0], same[same["kind"] == 1]
             if len(rows) and len(queries):
                 tree = BallTree(rows["id"].to_numpy(), np.array(rows["v"].tolist(), np.int64).reshape(len(rows), -1))
-                for own, v, floor in zip(queries["id"], queries["v"], queries["floor"]):
-                    out += [(own, i, s) for s, i in tree.search(np.asarray(v, np.int64), own, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                for number, own, v, floor in zip(queries["query"], queries["id"], queries["v"], queries["floor"]):
+                    out += [(number, own, i, s) for s, i in tree.search(np.asarray(v, np.int64), own, k, floor)]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
 
     return search
 
@@ -107,27 +112,29 @@ def _searcher(k: int):
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = 4096, block_queries: int = 512, row_id: str = "vec_id", vector: str = "v") -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k highest integer inner products
     over rows (all, if fewer). vector: array<long> without nulls, see quantized()."""
-    base = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null and id is not null")
-    asked = queries.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v")).where("v is not null and id is not null")
+    known = F.col(vector).isNotNull() & F.col(row_id).isNotNull()
+    base = rows.where(known).select(F.lit(None).cast("long").alias("query"), F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"))
+    asked = stored(queries.where(known).select(F.monotonically_increasing_id().alias("query"), F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v")))
     n_rows, n_asked = base.count(), asked.count()
     shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_asked // block_queries))
-    deal = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    cells = base.withColumn("shard", deal(shards, 1)).withColumn("block", every(blocks)).withColumn("kind", F.lit(0)).withColumn("floor", F.lit(0.0))
-    asked = asked.withColumn("block", deal(blocks, 2))
+    cells = base.withColumn("shard", deal(shards, "id", "v", F.lit(1))).withColumn("block", every(blocks)).withColumn("kind", F.lit(0)).withColumn("floor", F.lit(0.0))
+    asked = asked.withColumn("block", deal(blocks, "query"))
 
     def searched(cells: DataFrame, asked: DataFrame) -> DataFrame:
-        cols = ["shard", "block", "kind", "id", "v", "floor"]
+        cols = ["shard", "block", "kind", "query", "id", "v", "floor"]
         return cells.select(cols).unionByName(asked.withColumn("kind", F.lit(1)).select(cols)).groupBy("shard", "block").applyInPandas(_searcher(k), OUT)
 
     none = F.lit(float("-inf"))
     if shards > 1:  # a shard that all queries see first gives the bound that they share
         first = searched(cells.where("shard = 0"), asked.withColumn("shard", F.lit(0)).withColumn("floor", none))
-        ranked = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least"))
-        floors = ranked.where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("least").alias("floor"))
-        asked = asked.join(floors.groupBy("id").agg(F.min("floor").alias("floor")), "id", "left").withColumn("floor", F.coalesce("floor", none))
+        ranked = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor"))
+        floors = ranked.where(F.col("n") >= k).select("query", "floor")
+        asked = asked.join(floors, "query", "left").withColumn("floor", F.coalesce("floor", none))
     else:
         asked = asked.withColumn("floor", none)
     found = searched(cells, asked.withColumn("shard", every(shards)))
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    # a filter on the row number lets Spark keep k rows a query in each task before it shuffles
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
