@@ -19,12 +19,19 @@ cluster of n yields at most n - 1 rows, and no set of pairs is made. Links becom
 components by rounds of label spreading over written tables.
 
 For a similarity such a forest is of loose links, so it only says which signatures belong to
-one family; within a family all are compared, whether the forest joins them or not. A family
-is one task's work, and its sets are in that task's memory.
+one family; within a family all are compared, whether the forest joins them or not. A task
+compares BLOCK members at most, twice as many when blocks meet. Large families are compared
+block by block first, then what each block found is merged by one member of each of its
+components. Members of the family's largest component need no further comparison with each
+other; all others are then compared with every block. So a family of copies that are all
+alike costs about its size, and only one whose members are not alike costs its square, spread
+over many tasks.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; a
 text of fewer words than a shingle hashes as a whole. Repeated rows get their result each;
-null ids give a null component only if no id of the component is known.
+null ids give a null component only if no id of the component is known. An empty table gives
+no rows. Very long texts are hashed whole, in memory linear in them. ``dedup`` keeps all
+columns, whatever their names; the other functions ignore extra ones.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_TABLE, stored
+from .common import LOWER_TABLE, free_name, lean, stored
 
 #: Runs of a variant up to so many fingerprints are compared by shifts, longer ones by a
 #: breadth-first walk.
@@ -69,15 +76,17 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", words: int = 4, seed: int = 42) -> DataFrame:
-    """docs with the fingerprint of each text as a (signed) long; text itself stays."""
+    """docs with the fingerprint of each text as a (signed) long; text itself stays. If docs has
+    a column of that name, the new one gets underscores before its name."""
+    name, place = free_name(docs.columns, name), docs.columns.index(text)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(text)], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(place)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def segments(distance: int) -> list[tuple[int, int]]:
@@ -190,6 +199,8 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
         if state[0] == state[2] and state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components aren't settled after {rounds} rounds")
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
 
@@ -327,9 +338,13 @@ def _wide_linker(apart: int):
     return run
 
 
-def _family_labels(apart: int, words: int, similarity: float):
+#: So many members of a family at most are compared with each other in one task.
+BLOCK = 1024
+
+
+def _group_labels(apart: int, words: int, similarity: float):
     """node, label: the least id that links of at least this similarity reach, from rows
-    (family, id, lanes, text) sorted by family and id. Every two of a family are compared, by
+    (group, id, lanes, text) sorted by group and id. Every two of a group are compared, by
     their sets if they are at most apart bits apart, but for those that are linked already."""
 
     def linked(lanes: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -371,6 +386,41 @@ def _family_labels(apart: int, words: int, similarity: float):
     return run
 
 
+def family_labels(members: DataFrame, apart: int, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """node, label: the least member that links of at least this similarity reach, of the
+    members(family, rep, lanes, t) of all families; members without links may be left out."""
+    names = [f"s{i}" for i in range(LANES)]
+    members = stored(members)
+    whole = stored(members.groupBy("family").agg(F.ceil(F.count("*") / block).alias("blocks")))
+    deal = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
+    dealt = members.join(whole, "family").withColumn("block", deal(0, "blocks"))
+
+    def labels(rows: DataFrame, *group: str) -> DataFrame:
+        rows = rows.select(F.xxhash64(*group).alias("group"), "rep", *names, "t").repartition("group").sortWithinPartitions("group", "rep")
+        return stored(rows.mapInArrow(lean(_group_labels(apart, words, similarity)), "node long, label long"))
+
+    found = labels(dealt, "family", "block")
+    wide = dealt.where("blocks > 1")
+    if wide.isEmpty():
+        return found
+    leaders = wide.join(found.where("node = label").select(F.col("node").alias("rep")), "rep", "left_semi")
+    many = leaders.groupBy("family").agg(F.ceil(F.count("*") / block).alias("parts"))
+    found = found.unionByName(labels(leaders.join(many, "family").withColumn("part", deal(1, "parts")), "family", "part"))
+    joined = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    named = stored(wide.select("family", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("family", "rep", F.coalesce("label", "rep").alias("part")))
+    largest = named.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    rest = stored(named.join(largest, "family").where("part <> main").select("family", "rep"))
+    if rest.isEmpty():
+        return joined
+    some = rest.groupBy("family").agg(F.ceil(F.count("*") / block).alias("others"))
+    wide = wide.join(some, "family").withColumn("other", deal(2, "others"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    every = wide.withColumn("other", up_to("others"))
+    again = wide.join(rest.select("rep"), "rep", "left_semi").withColumn("block", up_to("blocks"))
+    found = found.unionByName(labels(every.unionByName(again.select(every.columns)), "family", "block", "other"))
+    return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+
+
 def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, component: the smallest id that links of at least this Jaccard similarity of word
     shingles reach. key: a long that is not null and not repeated."""
@@ -381,11 +431,11 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5
             found = np.array([signature(t.as_py(), words) for t in b.column(1)], np.uint64).reshape(-1, LANES).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in found.T)], ["id", *names])
 
-    signed = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, ", ".join(["id long", *(f"{n} long" for n in names)])))
+    signed = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(lean(run), ", ".join(["id long", *(f"{n} long" for n in names)])))
     return signed_groups(signed, docs.select(F.col(key).alias("id"), F.col(text).alias("t")), words, similarity)
 
 
-def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """id, component: similar_groups() of texts(id, t), signed being (id, s0, s1, ...)."""
     names = [f"s{i}" for i in range(LANES)]
     classes = stored(signed.groupBy(*names).agg(F.min("id").alias("rep")))
@@ -399,19 +449,17 @@ def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: f
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= wide).select("a", "b")
     families = stored(components(links.unionByName(near.where("dense").select("a", "b").distinct())))
     members = families.join(classes, families["node"] == classes["rep"]).join(texts, F.col("rep") == F.col("id")).select(F.col("label").alias("family"), "rep", *names, "t")
-    labels = stored(members.repartition("family").sortWithinPartitions("family", "rep").mapInArrow(_family_labels(wide, words, similarity), "node long, label long"))
+    labels = family_labels(members, wide, words, similarity, block)
     owned = classes.join(labels, classes["rep"] == labels["node"], "left").select(*names, F.coalesce("label", "rep").alias("component"))
     return signed.join(stored(owned), names).select("id", "component")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each component of near duplicates: that of the smallest id."""
-    from .common import free_name
-
     mark = free_name(docs.columns, "row")
     numbered = stored(docs.withColumn(mark, F.monotonically_increasing_id()))
     groups = similar_groups(numbered, mark, text, words, similarity).select(F.col("id").alias("r"), F.col("component").alias("c"))
     members = groups.join(numbered.select(F.col(mark).alias("r"), F.col(key).alias("k")), "r")
     best = F.min(F.struct(F.col("k").isNull().alias("n"), "k", "r")).alias("b")
-    keep = members.groupBy("c").agg(best).select(F.col("b.r").alias("keep"))
-    return numbered.join(keep, F.col(mark) == F.col("keep"), "left_semi").drop(mark)
+    keep = members.groupBy("c").agg(best).select(F.col("b.r").alias(mark))
+    return numbered.join(keep, mark, "left_semi").drop(mark)

@@ -293,6 +293,39 @@ def test_a_hub_hides_no_pair(spark):
     assert {r["id"]: r["component"] for r in simhash.signed_groups(signed, texts, 5, 0.8).collect()} == {0: 0, 1: 1, 2: 1}
 
 
+def test_large_families_lose_no_link(spark):
+    """Families of many blocks against all pairs: chains of drifting copies, and texts of one
+    template that are not alike; small blocks, so that all rounds run."""
+    rng = np.random.default_rng(11)
+    texts = {}
+    for c in range(3):  # each text is like the one before it, but not like the first
+        t = [f"c{c}w{i}" for i in range(150)]
+        for j in range(40):
+            texts[c * 1000 + j] = " ".join(t)
+            at = int(rng.integers(0, 144))
+            t[at : at + 6] = [f"e{c}x{j}y{k}" for k in range(6)]
+    template = [f"t{i}" for i in range(110)]
+    for j in range(60):  # texts 2k and 2k + 1 are alike, others share the template only
+        texts[5000 + j] = " ".join(template + [f"o{j // 2}z{i}" for i in range(60)] + ([f"q{j}"] if j % 2 else []))
+    ids = list(texts)
+    order = rng.permutation(len(ids))
+    rows = [(int(order[i]), texts[k]) for i, k in enumerate(ids)]
+    sets = {i: simhash.shingles(t) for i, t in rows}
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, x in sets.items():
+            for j, y in sets.items():
+                if label[i] != label[j] and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+                    low, high = sorted((label[i], label[j]))
+                    label = {k: low if v == high else v for k, v in label.items()}
+        break
+    lanes = ", ".join(f"s{i} long" for i in range(simhash.LANES))
+    members = spark.createDataFrame([(1, i, *simhash.signature(t).view(np.int64).tolist(), t) for i, t in rows], f"family long, rep long, {lanes}, t string")
+    for block in (16, 50, 1024):
+        got = {r["node"]: r["label"] for r in simhash.family_labels(members, simhash.bits_apart(0.8, 64 * simhash.LANES, simhash.SPARE), 5, 0.8, block).collect()}
+        assert {i: got.get(i, i) for i in label} == label, block
+
+
 def test_near_dedup_decides_by_exact_jaccard(spark):
     """Pairs of 0.75 to 0.79 stay apart, those of 0.8 to 0.85 are linked but for what the index misses."""
     rng = np.random.default_rng(9)
