@@ -109,13 +109,14 @@ def to_cell(df: DataFrame, n: float, e: float, s: float, w: float, size: int) ->
     return df.withColumns({"inside": (fy > 0) & (fy < 1) & (fx > 0) & (fx < 1), "r": (fy * (size - 1)).cast("int"), "c": (fx * (size - 1)).cast("int")})
 
 
-def clip(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, s: Column, e: Column, n: Column) -> tuple[Column, Column]:
-    """The part t0 <= t <= t1 of a piece inside a closed box; t0 > t1 where they don't meet."""
+def part_between(a: Column, d: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """From where to where (as parts of the whole way) a + t * d lies within low and high."""
+    step = F.nullif(d, F.lit(0.0))  # null where nothing moves
+    at, inside = ((low - a) / step, (high - a) / step), (a >= low) & (a <= high)
+    return F.coalesce(F.least(*at), F.when(inside, 0.0).otherwise(2.0)), F.coalesce(F.greatest(*at), F.when(inside, 1.0).otherwise(-1.0))
 
-    def axis(a, d, lo, hi):
-        step = F.nullif(d, F.lit(0.0))  # null along an axis on which the piece stands still
-        at, inside = ((lo - a) / step, (hi - a) / step), (a >= lo) & (a <= hi)
-        return F.coalesce(F.least(*at), F.when(inside, 0.0).otherwise(2.0)), F.coalesce(F.greatest(*at), F.when(inside, 1.0).otherwise(-1.0))
 
-    x, y = axis(x1, x2 - x1, w, e), axis(y1, y2 - y1, s, n)
+def clip(x1: Column, y1: Column, x2: Column, y2: Column, w: Column, s: Column, e: Column, n: Column) -> tuple[Column, Column]:
+    """The part t0 <= t <= t1 of a piece inside a closed box; t0 > t1 where they don't meet."""
+    x, y = part_between(x1, x2 - x1, w, e), part_between(y1, y2 - y1, s, n)
     return F.greatest(F.lit(0.0), x[0], y[0]), F.least(F.lit(1.0), x[1], y[1])

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
     """a, b, r for all pairs (a <= b) in one aggregation. Spearman takes average ranks first."""
     if method == "spearman":
-        df = df.withColumns({c: _rank(c) for c in cols})
+        for c in cols:
+            df = df.join(average_ranks(df, c), c, "left").withColumn(c, F.col("_rank")).drop("_rank")
     pairs = list(combinations_with_replacement(cols, 2))
     one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = one.unpivot([], list(one.columns), "pair", "r")
     return long.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
 
 
-def _rank(c: str) -> Column:
-    return F.rank().over(W.partitionBy(F.lit(0)).orderBy(c)) + (F.count("*").over(W.partitionBy(c)) - 1) / 2.0
+def average_ranks(df: DataFrame, c: str) -> DataFrame:
+    """c, _rank: the mean place (from 1) of each value that isn't null."""
+    return numbered(df.select(c).where(F.col(c).isNotNull()), [c]).groupBy(c).agg((F.avg("at") + 1).alias("_rank"))
 
 
 def histogram(df: DataFrame, col: str, bins: int, low: float, high: float, group: list[str] | None = None) -> DataFrame:
@@ -47,15 +51,20 @@ def otsu(df: DataFrame, col: str, bins: int, low: float, high: float) -> DataFra
     return best.select("bin", (low + (F.col("bin") + 1) * ((high - low) / bins)).alias("threshold"))
 
 
+def key_pairs(df: DataFrame, key: str) -> DataFrame:
+    """a < b: every two keys. For few keys, such as cities."""
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    return keys.select(F.col(key).alias("a")).join(keys.select(F.col(key).alias("b")), F.col("a") < F.col("b"))
+
+
 def wasserstein(df: DataFrame, key: str, value: str) -> DataFrame:
     """a < b, distance: Wasserstein-1 of every two keys' empirical distributions. The number
     of keys (cities) is small; rows meet as counts per distinct value."""
     counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(key)))
-    keys = [r[0] for r in df.select(key).distinct().limit(1000).collect()]
-    pairs = sorted((a, b) for a in keys for b in keys if a < b)
-    of = F.create_map(*[x for k in keys for x in (F.lit(k), F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(1.0 if k == a else -1.0).alias("sign")) for a, b in pairs if k in (a, b)]))])
-    flow = counts.withColumn("_pair", F.explode(of[F.col(key)])).select("_pair.a", "_pair.b", value, (F.col("p") * F.col("_pair.sign")).alias("d")).groupBy("a", "b", value).agg(F.sum("d").alias("d"))
+    counts = counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(key))).select(F.col(key).alias("k"), value, "p")
+    pairs = key_pairs(df, key)
+    flow = pairs.join(counts.withColumnRenamed("k", "a"), "a").select("a", "b", value, F.col("p").alias("d"))
+    flow = flow.unionByName(pairs.join(counts.withColumnRenamed("k", "b"), "b").select("a", "b", value, (-F.col("p")).alias("d"))).groupBy("a", "b", value).agg(F.sum("d").alias("d"))
     w = W.partitionBy("a", "b").orderBy(value)
     flow = flow.withColumns({"f": F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.lead(value).over(w)})
     return flow.groupBy("a", "b").agg(F.sum(F.abs("f") * (F.col("next") - F.col(value))).alias("distance"))
@@ -65,8 +74,7 @@ def js_distance(df: DataFrame, key: str, value: str, bins: int, low: float, high
     """a < b, distance: Jensen-Shannon (natural log) of the keys' histograms on shared bins."""
     h = histogram(df, value, bins, low, high, [key])
     h = h.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(key))).select(F.col(key).alias("k"), "bin", "p")
-    keys = h.select("k").distinct()
-    pairs = keys.select(F.col("k").alias("a")).join(keys.select(F.col("k").alias("b")), F.col("a") < F.col("b"))
+    pairs = key_pairs(h, "k")
     both = pairs.join(h.withColumnRenamed("k", "a"), "a").select("a", "b", "bin", F.col("p").alias("pa"), F.lit(0.0).alias("pb")).unionByName(pairs.join(h.withColumnRenamed("k", "b"), "b").select("a", "b", "bin", F.lit(0.0).alias("pa"), F.col("p").alias("pb")))
     m = both.groupBy("a", "b", "bin").agg(F.sum("pa").alias("pa"), F.sum("pb").alias("pb")).withColumn("m", (F.col("pa") + F.col("pb")) / 2)
     kl = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / F.col("m"))).otherwise(0.0)
@@ -82,9 +90,8 @@ def moments(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
 
 def scores(df: DataFrame, key: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """R2, MSE and explained variance per key."""
-    d = df.withColumn("_m", F.avg(y).over(W.partitionBy(*key)))
     err = F.col(y) - F.col(p)
-    return d.groupBy(*key).agg((1 - F.try_divide(F.sum(err * err), F.sum(F.pow(F.col(y) - F.col("_m"), 2)))).alias("r2"), F.avg(err * err).alias("mse"), (1 - F.try_divide(F.var_pop(err), F.var_pop(y))).alias("explained"))
+    return df.groupBy(*key).agg((1 - F.try_divide(F.avg(err * err), F.var_pop(y))).alias("r2"), F.avg(err * err).alias("mse"), (1 - F.try_divide(F.var_pop(err), F.var_pop(y))).alias("explained"))
 
 
 def weighted_kappa(df: DataFrame, a: str = "a", p: str = "p") -> DataFrame:
@@ -111,3 +118,33 @@ def sensitivity_ratio(df: DataFrame, key: list[str], attribution: str, x: str) -
     d = df.groupBy(*key).agg((part(attribution, True) - part(attribution, False)).alias("num"), (part(x, True) - part(x, False)).alias("den"))
     one_sided = F.col("num").isNull()
     return d.select(*key, F.when(one_sided, 0.0).otherwise(F.try_divide("num", "den")).alias("ratio"), F.coalesce("num", F.lit(0.0)).alias("num"), F.coalesce("den", F.lit(0.0)).alias("den"))
+
+
+def jf_against_ratio(jf: DataFrame, free_flow: DataFrame, speed: DataFrame, key: list[str]) -> DataFrame:
+    """jf(nid, key, jf) with the free-flow speed ff of its segment over the speed sp of its
+    sample, cut to 0 to 10."""
+    ratio = F.greatest(F.least(F.try_divide("ff", "sp"), F.lit(10.0)), F.lit(0.0))
+    return jf.join(free_flow.select("nid", "ff"), "nid").join(speed.select("nid", *key, "sp"), ["nid", *key]).withColumn("ratio", ratio)
+
+
+def warping_distance(series: DataFrame, key: str, values: str = "values") -> DataFrame:
+    """a < b, distance: dynamic time warping of every two of a few series (arrays of numbers),
+    steps costing the absolute difference. Rows of the table of costs are folded over one array."""
+    s = series.select(F.col(key).alias("k"), F.col(values).cast("array<double>").alias("v"))
+    pairs = key_pairs(s, "k").join(s.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(s.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b")
+    far = F.lit(float("inf"))
+    start = F.concat(F.array(F.lit(0.0)), F.array_repeat(far, F.size("vb")))  # costs of the row before; the first cell lies before both series
+
+    def next_row(before, x):
+        def put(row, j):
+            best = F.least(F.element_at(row, -1), F.get(before, j), F.get(before, j + 1))
+            return F.concat(row, F.array(F.abs(x - F.get(F.col("vb"), j)) + best))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size("vb") - 1), F.array(far), put)
+
+    return pairs.select("a", "b", F.element_at(F.aggregate("va", start, next_row), -1).alias("distance"))
+
+
+def score_table(scored: DataFrame, fold: str, folds: int, value: str = "r2", key: list[str] | None = None) -> DataFrame:
+    """Mean and population std of a score over the folds, and the score of each fold."""
+    return scored.groupBy(*(key or [])).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *[F.max(F.when(F.col(fold) == k, F.col(value))).alias(f"fold{k}") for k in range(folds)])

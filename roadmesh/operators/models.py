@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
@@ -13,12 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .metrics import scores
+from .order import cut, numbered
+
 #: Estimators by name. Ridge needs alpha * stddev_pop(y) / n, see ridge().
 MODELS = {
     "LR": lambda: LinearRegression(regParam=0.0, solver="normal"),
     "Lasso": lambda: LinearRegression(elasticNetParam=1.0, regParam=1.0, standardization=False),
-    "RF": lambda: RandomForestRegressor(numTrees=50, maxDepth=8, featureSubsetStrategy="sqrt", seed=42),
-    "GBM": lambda: GBTRegressor(maxIter=20, maxDepth=4, seed=42),
+    "RF": lambda: RandomForestRegressor(numTrees=200, maxDepth=10, featureSubsetStrategy="sqrt", seed=42),
+    "GBM": lambda: GBTRegressor(maxIter=200, maxDepth=3, seed=42),
     "Additive": lambda: GBTRegressor(maxIter=30, maxDepth=1, seed=42),
 }
 
@@ -81,6 +87,46 @@ def linear_attribution(df: DataFrame, cols: list[str], y: str = "y", key: str =
     return j.select(key, *parts).unpivot(key, cols, "feature", "value")
 
 
+def fold_attribution(df: DataFrame, cols: list[str], y: str = "y", key: str = "row_id", fold: str = "fold", folds: int = 3) -> DataFrame:
+    """linear_attribution() by the model of each fold's training rows, averaged over the folds."""
+    out = None
+    for k in range(folds):
+        train = df.where(F.col(fold) != k)
+        m = MODELS["LR"]().setLabelCol(y).fit(assembled(train, cols))
+        mean = train.agg(*[F.avg(c) for c in cols]).first()
+        part = df.select(key, *[((F.col(c) - float(a)) * float(w)).alias(c) for c, a, w in zip(cols, mean, m.coefficients)]).unpivot(key, cols, "feature", "value")
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(key, "feature").agg(F.avg("value").alias("value"))
+
+
+def ridge_choice(df: DataFrame, cols: list[str], y: str = "y", alphas: tuple[float, ...] = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0)) -> DataFrame:
+    """feature, alpha, importance: absolute coefficients of the ridge whose alpha does best in
+    three folds."""
+    a = assembled(df, cols)
+    n, s = df.agg(F.count(y), F.stddev_pop(y)).first()
+    lr = LinearRegression(labelCol=y, elasticNetParam=0.0, standardization=False)
+    grid = ParamGridBuilder().addGrid(lr.regParam, [x * (s or 0.0) / max(n, 1) for x in alphas]).build()
+    cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="mse"), numFolds=3, parallelism=2, seed=42).fit(a)
+    best = alphas[min(range(len(alphas)), key=cv.avgMetrics.__getitem__)]
+    return df.sparkSession.createDataFrame([(c, best, abs(float(w))) for c, w in zip(cols, cv.bestModel.coefficients)], "feature string, alpha double, importance double")
+
+
+def search(df: DataFrame, cols: list[str], y: str = "y", trees: tuple[int, ...] = (10, 20), depths: tuple[int, ...] = (4, 8), draws: int | None = None, seed: int = 42) -> DataFrame:
+    """trees, depth, mse of each setting tried: all of the grid, or so many seeded draws of it."""
+    cv = grid_search(df, cols, y, trees, depths)
+    tried = cv.getEstimatorParamMaps()
+    if draws:
+        tried = random.Random(seed).sample(tried, min(draws, len(tried)))
+        cv = cv.setEstimatorParamMaps(tried)
+    mse = cv.fit(assembled(df, cols)).avgMetrics
+    rf = cv.getEstimator()
+    return df.sparkSession.createDataFrame([(m[rf.numTrees], m[rf.maxDepth], float(x)) for m, x in zip(tried, mse)], "trees int, depth int, mse double")
+
+
+def save(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
 def sampled_attribution(df: DataFrame, model, cols: list[str], background: DataFrame, key: str = "row_id", orders: int = 2, seed: int = 42) -> DataFrame:
     """key, feature, value: sampled Shapley values. Each row meets a few background rows
     under random feature orders; coalition rows go through the model once, and the step that
@@ -103,17 +149,20 @@ def sampled_attribution(df: DataFrame, model, cols: list[str], background: DataF
 def permutation_importance(df: DataFrame, model, cols: list[str], y: str = "y", key: str = "row_id", repeats: int = 3, seed: int = 42) -> DataFrame:
     """feature, importance: loss of R2 when the feature's values change rows, by the mean of
     seeded repeats; one scoring pass over rows x features x repeats."""
-    from .metrics import scores
-
     base = scores(model.transform(assembled(df, cols)).withColumnRenamed("prediction", "p").withColumn("g", F.lit(0)), ["g"], y).select(F.col("r2").alias("base"))
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    out = None
+    rows = cut(numbered(df.select(key, y, *cols), [key], "at", "n"))
+    n = max(rows.count(), 1)
+    # place -> (a * place + b) mod n changes places one to one, if a and n share no divisor
+    rng, moves = random.Random(seed), []
     for c in cols:
-        w = W.partitionBy("rep")
-        a = reps.withColumn("at", F.row_number().over(w.orderBy(key))).drop(c)
-        b = reps.select("rep", F.col(c), F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.lit(c), "rep", key), key)).alias("at"))
-        part = a.join(b, ["rep", "at"]).select("rep", y, *cols, F.lit(c).alias("feature"))
-        out = part if out is None else out.unionByName(part)
+        for r in range(repeats):
+            a = rng.randrange(1, 1 << 20)
+            while math.gcd(a, n) > 1:
+                a += 1
+            moves.append(F.struct(F.lit(c).alias("feature"), F.lit(r).alias("rep"), F.lit(a).cast("long").alias("a"), F.lit(rng.randrange(n)).cast("long").alias("b")))
+    moved = rows.withColumn("_m", F.explode(F.array(*moves))).withColumn("to", F.pmod(F.col("_m.a") * F.col("at") + F.col("_m.b"), F.lit(n)))
+    other = rows.select(F.col("at").alias("to"), F.struct(*cols).alias("_o"))
+    out = moved.join(other, "to").select(F.col("_m.rep").alias("rep"), F.col("_m.feature").alias("feature"), y, *[F.when(F.col("_m.feature") == c, F.col(f"_o.{c}")).otherwise(F.col(c)).alias(c) for c in cols])
     s = scores(model.transform(assembled(out, cols)).withColumnRenamed("prediction", "p"), ["feature", "rep"], y)
     return s.groupBy("feature").agg(F.avg("r2").alias("r2")).join(F.broadcast(base)).select("feature", (F.col("base") - F.col("r2")).alias("importance"))
 
@@ -126,11 +175,10 @@ def grid_search(df: DataFrame, cols: list[str], y: str = "y", trees: tuple[int,
 
 
 def forest_shape(model) -> tuple[float, float, float, float]:
-    """Trees, mean leaves, mean depth and their product."""
-    t = model.getNumTrees
-    leaves = sum((x.numNodes + 1) / 2 for x in model.trees) / t
-    depth = sum(x.depth for x in model.trees) / t
-    return float(t), leaves, depth, t * leaves * depth
+    """Trees, the most leaves and the greatest depth of a tree, and their product."""
+    t = float(model.getNumTrees)
+    leaves, depth = max((x.numNodes + 1) / 2 for x in model.trees), float(max(x.depth for x in model.trees))
+    return t, leaves, depth, t * leaves * depth
 
 
 def principal_components(df: DataFrame, cols: list[str], k: int, key: list[str]) -> DataFrame:
@@ -145,13 +193,13 @@ def cluster_series(df: DataFrame, cols: list[str], k: int = 3, seed: int = 42) -
     return KMeans(k=k, seed=seed).fit(a).transform(a).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def choose_k(df: DataFrame, cols: list[str], ks: range = range(2, 6), seed: int = 42) -> DataFrame:
+def choose_k(df: DataFrame, cols: list[str], ks: range = range(2, 11), seed: int = 42) -> DataFrame:
     """k, inertia, silhouette."""
-    a = assembled(df, cols).cache()
-    rows = []
+    a, rows = assembled(df, cols).cache(), []
     for k in ks:
         m = KMeans(k=k, seed=seed).fit(a)
         rows.append((k, float(m.summary.trainingCost), float(ClusteringEvaluator().evaluate(m.transform(a)))))
+    a.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 

@@ -17,6 +17,35 @@ def cols_like(df: DataFrame, pattern: str) -> DataFrame:
     return df.select([c for c in df.columns if re.search(pattern, c)])
 
 
+def drop_features(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.drop(*cols)
+
+
+def rename_features(df: DataFrame, names: dict[str, str], col: str | None = None) -> DataFrame:
+    """Columns renamed, or the values of col; what names doesn't hold stays."""
+    if col is None:
+        return df.withColumnsRenamed(names)
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return df.withColumn(col, F.coalesce(F.element_at(known, F.col(col)), F.col(col)))
+
+
+def importance_ranking(df: DataFrame, key: list[str], value: str = "value") -> DataFrame:
+    """All features of each key by falling mean of the absolute value, to nine digits."""
+    m = df.groupBy(*key, "feature").agg(F.avg(F.abs(value)).alias("mean_abs"))
+    return m.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(F.round("mean_abs", 9)), "feature")))
+
+
+def sorted_values(df: DataFrame, key: list[str], order: str, value: str) -> DataFrame:
+    """The values of each key in an array, in order."""
+    return df.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
+
+
+def mean_by_position(df: DataFrame, first: int | None = None, values: str = "values") -> DataFrame:
+    """pos, mean: over all arrays, of which only the first elements count if so asked."""
+    v = F.slice(values, 1, first) if first else F.col(values)
+    return df.select(F.posexplode(v).alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean"))
+
+
 def drop_null_columns(df: DataFrame) -> DataFrame:
     """df without the columns that hold any null; one pass."""
     row = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
@@ -42,9 +71,9 @@ def pivot_mean(df: DataFrame, index: list[str], columns: str, value: str, values
     return df.groupBy(*index).pivot(columns, values).agg(F.avg(value))
 
 
-def pivot_only(df: DataFrame, index: list[str], columns: str, value: str, values: list) -> DataFrame:
-    """A pivot where each cell has one row: the maximum is that row."""
-    return df.groupBy(*index).pivot(columns, values).agg(F.max(value))
+def pivot_first(df: DataFrame, index: list[str], columns: str, value: str, values: list, order: str | None = None) -> DataFrame:
+    """A pivot of each cell's first value, by order if given."""
+    return df.groupBy(*index).pivot(columns, values).agg(F.min_by(value, order) if order else F.first(value))
 
 
 def mask_where(df: DataFrame, mask: DataFrame, key: list[str], value: str = "value") -> DataFrame:
@@ -89,11 +118,6 @@ def min_max(df: DataFrame, key: list[str], value: str) -> DataFrame:
     return df.withColumn("scaled", F.try_divide(F.col(value) - low, high - low))
 
 
-def average_rank(key: list[str], value: str) -> Column:
-    """Rank with ties at their mean."""
-    return F.rank().over(W.partitionBy(*key).orderBy(value)) + (F.count("*").over(W.partitionBy(*key, value)) - 1) / 2.0
-
-
 def top_features(df: DataFrame, key: list[str], n: int = 3, value: str = "value") -> DataFrame:
     """The n features of the highest |mean| per key."""
     m = df.groupBy(*key, "feature").agg(F.avg(value).alias("mean"))
@@ -125,8 +149,12 @@ def first_last_difference(df: DataFrame, key: list[str], order: str, value: str)
 
 def trend_labels(df: DataFrame, by: str = "difference", tie: str = "cluster") -> DataFrame:
     """Clusters in order of their difference: Increasing, Indeterminate, Decreasing."""
-    r = F.row_number().over(W.partitionBy(F.lit(0)).orderBy(by, tie))
-    return df.withColumn("label", F.element_at(F.array(F.lit("Increasing"), F.lit("Indeterminate"), F.lit("Decreasing")), F.least(r, F.lit(3))))
+    first = [r[0] for r in df.where(F.col(by).isNotNull()).orderBy(by, tie).select(tie).limit(2).collect()]
+    named = zip(first, ("Increasing", "Indeterminate"))
+    label = F.lit("Decreasing")
+    for value, name in named:
+        label = F.when(F.col(tie) == F.lit(value), name).otherwise(label)
+    return df.withColumn("label", label)
 
 
 def compare_shifts(a: DataFrame, b: DataFrame, key: list[str], value: str = "value") -> DataFrame:

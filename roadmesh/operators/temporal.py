@@ -89,3 +89,9 @@ def tod_pick(df: DataFrame, hour: int) -> DataFrame:
 def equal_length(df: DataFrame, key: list[str]) -> DataFrame:
     """One row: how many series there are, and whether all have as many samples."""
     return df.groupBy(*key).count().agg(F.count("*").alias("series"), (F.count_distinct("count") <= 1).alias("equal"))
+
+
+def every_nth(df: DataFrame, key: list[str], order: str, n: int) -> DataFrame:
+    """Every n-th sample of each series, from the first on."""
+    at = F.row_number().over(W.partitionBy(*key).orderBy(order)) - 1
+    return df.withColumn("_at", at).where(F.col("_at") % n == 0).drop("_at")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import clip
+from .grid import clip, part_between
 
 KEY = ["scale", "row", "col"]
 
@@ -28,7 +28,13 @@ def join_segments_tiles(pieces: DataFrame, scales: list[int]) -> DataFrame:
     """pieces(nid, x1, y1, x2, y2) in the unit square with each tile that they meet and the
     length inside it. Spans are closed: a touch counts, with length 0."""
     p = with_scales(pieces, scales)
-    p = p.withColumn("row", F.explode(_span(F.least("y1", "y2"), F.greatest("y1", "y2"), F.col("scale")))).withColumn("col", F.explode(_span(F.least("x1", "x2"), F.greatest("x1", "x2"), F.col("scale"))))
+    p = p.withColumn("row", F.explode(_span(F.least("y1", "y2"), F.greatest("y1", "y2"), F.col("scale"))))
+    # only the columns that the piece passes while it is in the row's band; a piece that is
+    # nearly level stays in its band for all its columns
+    t0, t1 = part_between(F.col("y1"), F.col("y2") - F.col("y1"), (F.col("row") / F.col("scale")), (F.col("row") + 1) / F.col("scale"))
+    at = lambda t: F.when(F.abs(F.col("y2") - F.col("y1")) > 1e-6, F.col("x1") + (F.col("x2") - F.col("x1")) * t)
+    a, b = F.coalesce(at(F.greatest(t0, F.lit(0.0))), F.col("x1")), F.coalesce(at(F.least(t1, F.lit(1.0))), F.col("x2"))
+    p = p.withColumns({"_a": F.least(a, b) - 1e-6, "_b": F.greatest(a, b) + 1e-6}).withColumn("col", F.explode(_span(F.col("_a"), F.col("_b"), F.col("scale")))).drop("_a", "_b")
     edge = lambda c, k: (F.col(c) + k).cast("double") / F.col("scale")
     t0, t1 = clip(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), edge("col", 0), edge("row", 0), edge("col", 1), edge("row", 1))
     whole = F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2))
@@ -85,3 +91,65 @@ def tile_jf(seg_tile: DataFrame, values: DataFrame, value: str = "jf") -> DataFr
 def training_matrix(features: DataFrame, congestion: DataFrame) -> DataFrame:
     """Features and congestion of the tiles that have both."""
     return features.join(congestion, KEY)
+
+
+def segments_per_tile(joined: DataFrame) -> DataFrame:
+    """The sorted segments of each tile, as an array; for tiles of a map, which hold few."""
+    return joined.groupBy(*KEY).agg(F.array_sort(F.collect_set("nid")).alias("segments"))
+
+
+def clip_edges(joined: DataFrame) -> DataFrame:
+    """Edges cut at their tile's border: kind (inside, tail_out, head_out, crossing) and ends
+    (a, xa, ya) and (b, xb, yb). An end outside the tile gives way to a new node on the border,
+    named by a hash; its street_count is 3 and its tag missing."""
+    at = lambda t: (F.col("x1") + F.col(t) * (F.col("x2") - F.col("x1")), F.col("y1") + F.col(t) * (F.col("y2") - F.col("y1")))
+    tail, head = F.col("t0") > 0, F.col("t1") < 1
+    kind = F.when(tail & head, "crossing").when(tail, "tail_out").when(head, "head_out").otherwise("inside")
+    new = lambda side: F.xxhash64(*KEY, "nid", "v", F.lit(side))
+    (xa, ya), (xb, yb) = at("t0"), at("t1")
+    return joined.where("len > 0").select(*KEY, "nid", "v", kind.alias("kind"), F.when(tail, new("a")).otherwise(F.col("nid")).alias("a"), F.when(head, new("b")).otherwise(F.col("v")).alias("b"), xa.alias("xa"), ya.alias("ya"), xb.alias("xb"), yb.alias("yb"), "len")
+
+
+def synthetic_nodes(clipped: DataFrame) -> DataFrame:
+    """The new nodes of clip_edges()."""
+    ends = [clipped.where(F.col(c) != F.col(old)).select(F.col(c).alias("node_id"), F.col(f"x{c}").alias("x"), F.col(f"y{c}").alias("y")) for c, old in (("a", "nid"), ("b", "v"))]
+    return ends[0].unionByName(ends[1]).distinct().withColumns({"street_count": F.lit(3), "highway": F.lit(None).cast("string")})
+
+
+def near_box(nodes: DataFrame, w: float, s: float, e: float, n: float) -> DataFrame:
+    """Nodes in the box widened by a quarter of its sides, upper borders excluded."""
+    dx, dy = (e - w) / 4, (n - s) / 4
+    return nodes.where((F.col("x") >= w - dx) & (F.col("x") < e + dx) & (F.col("y") >= s - dy) & (F.col("y") < n + dy))
+
+
+def inside_hull(nodes: DataFrame, boundary: DataFrame) -> DataFrame:
+    """Nodes inside the convex hull of the vertices boundary(x, y), a few dozen of them: a pair of
+    vertices is an edge of the hull if no vertex lies to its right."""
+    v = boundary.select("x", "y").distinct()
+    as_ = lambda k: v.select(F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    right = lambda x, y: (F.col("xb") - F.col("xa")) * (y - F.col("ya")) - (F.col("yb") - F.col("ya")) * (x - F.col("xa"))
+    pairs = as_("a").crossJoin(as_("b")).where("xa <> xb or ya <> yb").crossJoin(as_("c"))
+    edges = pairs.groupBy("xa", "ya", "xb", "yb").agg(F.min(right(F.col("xc"), F.col("yc"))).alias("m")).where("m >= 0").drop("m")
+    hull = edges.agg(F.collect_list(F.struct("xa", "ya", "xb", "yb")).alias("_hull"))
+    fits = F.forall("_hull", lambda h: (h["xb"] - h["xa"]) * (F.col("y") - h["ya"]) - (h["yb"] - h["ya"]) * (F.col("x") - h["xa"]) >= 0)
+    return nodes.join(F.broadcast(hull)).where(fits).drop("_hull")
+
+
+def extent(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n"))
+
+
+def rasterize(pieces: DataFrame, size: int, value: str = "value", order: list[str] | None = None) -> DataFrame:
+    """r, c, value of the cells along each piece of the unit square, in equal steps of at most a
+    cell; of several pieces in a cell the last by order wins. Pieces with an end outside go."""
+    inside = lambda c: (F.col(c) > 0) & (F.col(c) < 1)
+    cell = lambda c: F.floor(F.col(c) * (size - 1))
+    d = pieces.where(inside("x1") & inside("x2") & inside("y1") & inside("y2")).withColumns({"_r1": cell("y1"), "_r2": cell("y2"), "_c1": cell("x1"), "_c2": cell("x2")})
+    d = d.withColumn("_k", F.greatest(F.abs(F.col("_r2") - F.col("_r1")), F.abs(F.col("_c2") - F.col("_c1")))).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k"))))
+    step = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.greatest(F.col("_k"), F.lit(1)) + 0.5)
+    return d.groupBy(step("_r1", "_r2").alias("r"), step("_c1", "_c2").alias("c")).agg(F.max_by(value, F.struct(*(order or ["nid"]))).alias("value"))
+
+
+def tile_centrality(node_tile: DataFrame, centrality: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """The mean of the whole graph's centrality over the nodes of each tile."""
+    return node_tile.join(centrality.select("node_id", "centrality"), "node_id").groupBy(*key).agg(F.avg("centrality").alias("global_betweenness"))

@@ -53,8 +53,9 @@ SQL = {
     "tiles": "select s.scale, r.r::integer as row, c.c::integer as col, r.r::double/s.scale as s, (r.r+1)::double/s.scale as n, c.c::double/s.scale as w, (c.c+1)::double/s.scale as e from (select unnest([10, 20]) as scale) s, (select unnest(range(20)) as r) r, (select unnest(range(20)) as c) c where r.r < s.scale and c.c < s.scale",
     "importance": "select event_type as city, cast(20+10*(user_id%8) as integer) as scale, 'f' || (event_id%14) as feature, case when event_id%11<>0 then value-50 end as value, event_id from events",
     "matrix": "select vec_id as row_id, " + ", ".join(f"embedding[{i + 1}]::double as f{i}" for i in range(14)) + ", embedding[1]::double*2 - embedding[2]::double + embedding[3]::double*embedding[4]::double + embedding[21]::double as y, label as city from embeddings",
-    "bins": "select city, cast((rn-1)//6 as bigint) as bin, avg(jf) as jf from (select *, row_number() over (partition by city order by ts, event_id) as rn from jf) group by 1, 2",
-    "days": "select * from (select city, bin//24 as day, bin%24 as hour, jf, count(*) over (partition by city, bin//24) as n from bins) where n=24 and day<30",
+    "bins": "select nid, cast((rn-1)//6 as bigint) as bin, avg(jf) as jf from (select *, row_number() over (partition by nid order by ts, event_id) as rn from jf) group by 1, 2",
+    "days": "select * from (select nid, bin//24 as day, bin%24 as hour, jf, count(*) over (partition by nid, bin//24) as n from (select nid, cast(row_number() over (partition by nid order by ts, event_id)-1 as bigint) as bin, jf from jf)) where n=24 and day<30",
+    "walk": "select * from (select city, cast(floor(jf) as bigint) as u, lead(cast(floor(jf) as bigint)) over (partition by city order by event_id) as v, jf as length from jf) where v is not null",
     "seg_bins": "select nid, cast((rn-1)//2 as bigint) as bin, avg(jf) as jf from (select *, row_number() over (partition by nid order by ts, event_id) as rn from jf) group by 1, 2",
     "profile": "select nid, hour, avg(jf) as jf from (select nid, bin//24 as day, bin%24 as hour, jf, count(*) over (partition by nid, bin//24) as n from seg_bins) where n=24 and day<30 group by 1, 2",
     "seg_value": "select nid, avg(jf) as jf from profile where hour>=1 and hour<24 group by 1",
