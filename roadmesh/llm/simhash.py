@@ -339,7 +339,7 @@ def _wide_linker(apart: int):
 
 
 #: So many members of a family at most are compared with each other in one task.
-BLOCK = 1024
+BLOCK = 256
 
 
 def _group_labels(apart: int, words: int, similarity: float):
