@@ -145,7 +145,7 @@ def test_language_model(spark, docs):
                     seen.setdefault(context[ppm.ORDER - k :], Counter())[byte] += 1
     n, v = sum(train.values()), len(train)
     assert isclose(sum(_chance(seen, b"the ca", b) for b in range(256)), 1.0) and isclose(sum(_chance(seen, b"qqqqqq", b) for b in range(256)), 1.0)
-    for hot in ((8, 8, 8), (1 << 16, 1 << 18, 1 << 18)):
+    for hot in ((8, 8, 8), (ppm.HOT_WORDS, ppm.HOT_HEADS, ppm.HOT_KEYS)):
         got = ppm.score_documents(d, hot=hot).collect()
         want = Counter()
         for i, t in texts:
