@@ -46,7 +46,7 @@ from .common import LOWER_TABLE, lean, stored
 
 ORDER, TAIL, HEAD, LEAST = 6, 2, 5, 8
 #: So many pieces and trie entries at most are looked up without a join.
-HOT_WORDS, HOT_HEADS, HOT_KEYS = 1 << 18, 1 << 19, 1 << 21
+HOT_WORDS, HOT_HEADS, HOT_KEYS = 1 << 17, 1 << 19, 1 << 20
 END = b"\n"
 _FLUSH = 300_000
 _SLICE = 512
