@@ -11,7 +11,8 @@ that rules have. Nothing is broadcast but at most ``ranges`` splitters.
 
 Edge cases: a null url or one without ``://`` has the empty host and path and fits no rule.
 Repeated rows each get their result. Empty tables give empty results. Of rules with the
-same key the last verdict by code point holds. Extra columns of the input are not kept.
+same key the last verdict by code point holds. Very long urls are keys like others. Extra
+columns of the input are not kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
     spark = pages.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rules = rules.where("rule_host is not null and rule_path is not null").groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
-    depths = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\.", -1)).alias("d")).distinct().limit(256).collect())
+    depths = sorted(r[0] for r in rules.select(F.size(F.split("rule_host", r"\.", -1)).alias("d")).distinct().collect())
     urls = pages.select(F.col(key).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labels = F.split("host", r"\.", -1)
     suffixes = [F.when(F.size(labels) > d, F.array_join(F.slice(labels, F.greatest(F.size(labels) - d + 1, F.lit(1)), d), ".")) for d in depths]
@@ -93,7 +94,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", key:
     low, high = below(F.col("key")), upto(F.col("key"))
     dealt = entries.withColumn("bucket", low + F.pmod(F.xxhash64("page_id", "host", "path"), high - low + 1).cast("int"))
     named = rules.select(canonical_key(F.col("rule_host"), F.col("rule_path")).alias("key"), F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("m"), F.concat("rule_host", "rule_path").alias("name"), "verdict").alias("rule"))
-    spread = named.withColumn("bucket", F.explode(F.sequence(below(F.col("key")), upto(F.concat("key", F.lit("\U0010ffff"))))))
+    # a rule's keys end before the ranges whose splitter is behind the rule's key and does not begin with it
+    inside = F.size(F.filter(splitters, lambda s: (s <= F.col("key")) | s.startswith(F.col("key"))))
+    spread = named.withColumn("bucket", F.explode(F.sequence(below(F.col("key")), inside)))
     nothing = F.lit(None)
     both = dealt.select("bucket", "key", F.lit(1).alias("kind"), "page_id", "host", "path", "first", nothing.cast("string").alias("rule")).unionByName(
         spread.select("bucket", "key", F.lit(0).alias("kind"), nothing.cast("long").alias("page_id"), nothing.cast("string").alias("host"), nothing.cast("string").alias("path"), nothing.cast("int").alias("first"), F.to_json("rule").alias("rule"))
