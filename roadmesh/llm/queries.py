@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,16 +67,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def digests(batches):
-        for b in batches:
-            spans = [x or [] for x in b.column(1).to_pylist()]
-            base = [[s for s in x if s["kind"] != "entropy"] for x in spans]
-            counts = [pa.array([sum(s["kind"] == k for s in x) for x in base], pa.int64()) for k in ("assign", "access", "hex")]
-            sums = pa.array([secret_scan.digest(secret_scan.named(x)) for x in base], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *counts, sums, pa.array(map(secret_scan.named, spans), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    found = secret_scan.scan_documents(table(spark, sf_dir, "documents"))
-    return found.mapInArrow(digests, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

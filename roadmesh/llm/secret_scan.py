@@ -9,7 +9,8 @@ secret mixes letters and digits), strings that a rule of ALLOWED fits, and any g
 the caller. Base spans are never suppressed.
 
 Positions count code points, ends are exclusive. Edge cases: null and empty texts have no
-spans; rows that repeat are scanned each; work and memory of a text are linear in it.
+spans; rows that repeat are scanned each; an empty table gives none. Work and memory of a
+text, however long, are linear in it. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,8 +102,23 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", all
     return docs.select(key, text).mapInArrow(run, "doc_id long, spans array<struct<kind string, start int, end int>>")
 
 
-def named(spans) -> str:
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
+def scan_digests(docs: DataFrame, key: str = "doc_id", text: str = "text", allowed: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_assign, n_access and n_hex (base spans of each kind), base_sha256 (of the base
+    spans, written as in spans) and spans (all, as kind:start:end joined by commas)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        more = tuple(map(re.compile, allowed))
+        for b in batches:
+            found = [scan(t.as_py(), more) for t in b.column(1)]
+            counts = [pa.array([sum(k == kind for _, k, _ in x) for x in found], pa.int64()) for kind in range(3)]
+            sums = [digest(named([s for s in x if s[1] < 3])) for x in found]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *counts, pa.array(sums, pa.string()), pa.array(map(named, found), pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    return docs.select(key, text).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def named(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
 
 
 def digest(text: str) -> str:

@@ -13,7 +13,8 @@ word of every text where it lies; nothing is shuffled.
 Edge cases: null and empty texts have no words and get the models' base rate. A label that
 is null leaves its row out of that category's fit only. A category with one class only, or
 no labels, has its smoothed base rate for every text. Repeated labels of an id: the
-highest counts. Repeated rows are scored each.
+highest counts. Repeated rows are scored each; an empty table gives none. Very long texts are
+read whole, in memory linear in them. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
