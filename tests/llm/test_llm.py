@@ -374,3 +374,103 @@ def test_secrets(spark):
     for _ in range(50):
         w = "".join(rng.choice(list("abc123XYZ"), 60))
         assert {p for a, b in secret_scan.entropy_spans(w, 0, 2.9) for p in range(a, b)} == slow(w, 2.9)
+
+
+def test_secrets_of_the_query_by_hand(spark):
+    """Counts, digest and base spans against a plain scan of each pattern, clashing columns ignored."""
+    texts = [None, "", 'token: "abcdefghijkl" 😀 AKIA12345678901234 AKIA1 0123456789abcdef0 passwd=short', "API_KEY = 'x/y+z=.-_1234567' secret:\x20\x20deadbeefdeadbeef" * 3, "k " * 40_000 + "password=" + "a" * 50_000]
+    d = spark.createDataFrame([(i, t, "mine", 1) for i, t in enumerate(texts)] + [(2, texts[2], "mine", 1)], "doc_id long, text string, spans string, n_hex int")
+    got = secret_scan.scan_digests(d).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        t, base = texts[r["doc_id"]] or "", []
+        for m in re.finditer("(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.I):
+            base += [(m.start(), 0, m.end())] * (len(m[2]) >= 12)
+        base += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        base += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        told = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{z}" for a, k, z in sorted(base))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+        assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
+        assert ",".join(x for x in r["spans"].split(",") if not x.startswith("entropy")) == told
+    assert secret_scan.scan_digests(d.where("false")).count() == 0
+
+
+def test_chain_feeds_out_of_fold_probabilities():
+    """Against the same chain written out: each category's model sees the earlier ones'
+    probabilities, which come from models that didn't see the text."""
+    rng = np.random.default_rng(12)
+    words = [b"w%d" % i for i in range(30)]
+    texts = [set(rng.choice(words, 8).tolist()) | ({b"bad"} if i % 3 == 0 else {b"good"}) for i in range(90)]
+    y = np.array([[i % 3 == 0, (i % 3 == 0) ^ (i % 11 == 0)] for i in range(90)], float)
+    y[4, 1] = np.nan
+    chain = toxicity.Chain(list(texts), y, seed=7)
+    rows, cols = chain.places(texts)
+    fold = np.random.default_rng(7).permutation(90) % toxicity.FOLDS
+
+    def fit(fed, target, use):
+        at = np.cumsum(use) - 1
+        mine = use[rows]
+        return toxicity.Logistic().fit(at[rows[mine]], cols[mine], len(chain.index), fed[use], target[use])
+
+    fed = np.zeros((90, 0))
+    for k in range(2):
+        known = ~np.isnan(y[:, k])
+        assert np.allclose(chain.models[k].prob(rows, cols, 90, fed), fit(fed, y[:, k], known).prob(rows, cols, 90, fed))
+        out = np.zeros(90)
+        for f in range(toxicity.FOLDS):
+            part = fit(fed, y[:, k], known & (fold != f)).prob(rows, cols, 90, fed)
+            out[fold == f] = part[fold == f]
+        assert np.allclose(chain.out_of_fold[:, k], out)
+        fed = np.column_stack([fed, out])
+
+
+def test_blocks_of_a_shard_are_those_of_least_hash(spark):
+    """taken against a walk over every word of the line, for sources of one shard."""
+    rng = np.random.default_rng(13)
+    rows = [(i if i % 7 else None, " ".join(["w"] * int(rng.integers(0, 90))), "ab"[i % 5 > 1]) for i in range(120)] + [(1, "same words", "a")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = mixing._sized(d, "source", "text", [])
+    named = sized.select(F.col("_row").alias("row"), F.col("_mark").alias("mark"), F.col("_source").alias("source"), F.col("_size").alias("size"))
+    got = mixing.taken_words(named).withColumn("h", F.xxhash64(F.lit(8), "mark")).collect()
+    assert len(got) == len(rows)
+    for place in (0, 1):
+        mine = sorted((r for r in got if r["place"] == place and r["size"] > 0), key=lambda r: (r["h"], r["mark"], r["row"]))
+        shard, words = mine[0]["shard"], sum(r["size"] for r in mine)
+        passes = int(mine[0]["target"] // words)
+        n = -(-words // mixing.BLOCK)
+        order = [r["b"] for r in spark.range(n).select(F.col("id").alias("b"), F.xxhash64(F.lit(9), F.lit(place).cast("int"), F.lit(shard).cast("long"), "id").alias("h")).orderBy("h", "b").collect()]
+        rest = sum(r["taken"] - passes * r["size"] for r in mine)
+        for seats in range(n + 1):
+            drawn = set(order[:seats])
+            at, want = 0, []
+            for r in mine:
+                want.append(passes * r["size"] + sum((at + j) // mixing.BLOCK in drawn for j in range(r["size"])))
+                at += r["size"]
+            if sum(want) - passes * words == rest:
+                break
+        assert [r["taken"] for r in mine] == want
+
+
+CLASH = ["row", "gone", "keep", "ids", "size", "copy", "taken", "target", "source_size", "fp", "mark", "_row", "_kept", "grp", "kept", "draw_key", "component", "id", "t"]
+
+
+def test_clashing_names_long_texts_nulls_and_empty_tables(spark):
+    """What keeps columns keeps them all, with their values."""
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d  e f", "x"), (3, "z y x w v u t " * 9000, "y"), (None, None, None), (5, "", "x"), (6, "z y x w v u t " * 9000 + "end", "y"), (7, "q" * 70_000, "y")]
+    d = spark.createDataFrame([(*r, *[f"{c}{i}" for c in CLASH]) for i, r in enumerate(rows)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASH))
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    whole = {tuple(r) for r in d.collect()}
+    for f in (exact_dedup.dedup, simhash.dedup, mixing.mixture, lambda x: importance.keep_good(x, labels)):
+        got = f(d)
+        assert got.columns == d.columns and {tuple(r) for r in got.collect()} <= whole
+        none = f(d.where("false"))
+        assert none.columns == d.columns and none.count() == 0
+    assert {r["doc_id"] for r in exact_dedup.dedup(d).collect()} in ({2, 3, None, 6, 7}, {2, 3, 5, 6, 7})
+    assert {r["doc_id"] for r in simhash.dedup(d).collect()} >= {1, 7} and 6 not in {r["doc_id"] for r in simhash.dedup(d).collect()}
+    coded = piece_bpe.encode_documents(d, model_path())
+    assert coded.columns == [*d.columns, "_ids"] and coded.where("doc_id = 1").first()["ids"] == "ids0"
+    assert set(mixing.mix(d).columns) == {*d.columns, "size", "source_size", "target", "taken"}
+    near = simhash.near_duplicates(d).collect()
+    assert len(near) == 7 and len(ppm.score_documents(d).collect()) == 7
+    assert toxicity.toxicity(d, labels, ["toxic"]).count() == 7 and toxicity.toxicity(d.where("false"), labels, ["toxic"]).count() == 0
+    assert secret_scan.scan_documents(d).count() == 7
