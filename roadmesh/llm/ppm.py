@@ -264,7 +264,7 @@ def _score_keys(shared):
 
 def train(pieces: DataFrame) -> DataFrame:
     """key, m, score (log10 probability) of all keys of pieces(piece, n)."""
-    keys = stored(pieces.select("piece", "n").mapInArrow(_count_keys, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+    keys = stored(pieces.select("piece", "n").mapInArrow(lean(_count_keys), "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
     low = keys.where("n > 0").groupBy((F.shiftleft(F.shiftright("key", 8 * (ORDER - Trie.LOW + 1)), 8) + F.col("key") % 256).alias("entry")).agg(F.sum("n").alias("n")).toArrow()
     shared = keys.sparkSession.sparkContext.broadcast(Trie(low.column("entry").to_numpy(), low.column("n").to_numpy()))
     dealt = keys.repartition(F.shiftright("key", 32)).sortWithinPartitions("key").select("key", "n", "m")
@@ -306,9 +306,9 @@ def score_pieces(pieces: DataFrame, keys: DataFrame, shared) -> DataFrame:
                 pair = np.unique(np.column_stack([number[rare], key[rare]]), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(pair[0][:, 0])), pa.array(np.ascontiguousarray(pair[0][:, 1])), pa.array(pair[1].astype(np.int32))], ["piece", "key", "tf"])
 
-    rest = pieces.select("piece").mapInArrow(other, "piece binary, key long, tf int").join(keys.select("key", "score"), "key")
+    rest = pieces.select("piece").mapInArrow(lean(other), "piece binary, key long, tf int").join(keys.select("key", "score"), "key")
     rest = rest.groupBy("piece").agg(F.sum(F.col("tf") * F.col("score")).alias("score")).select("piece", F.lit(0).cast("long").alias("n"), "score")
-    both = pieces.select("piece", "n").mapInArrow(known, "piece binary, n long, score double").unionByName(rest)
+    both = pieces.select("piece", "n").mapInArrow(lean(known), "piece binary, n long, score double").unionByName(rest)
     return both.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("score").alias("score"))
 
 

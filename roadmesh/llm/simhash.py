@@ -178,8 +178,8 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 def fingerprint_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """a < b: links between distinct fingerprints (column fp) that connect every two of at
     most distance differing bits, directly or over others that are linked."""
-    variants = fps.select("fp").distinct().mapInArrow(_variants(distance), "bit byte, variant long, fp long")
-    pairs = variants.repartition(F.col("bit"), F.col("variant")).sortWithinPartitions("bit", "variant").mapInArrow(_linker(distance), "a long, b long")
+    variants = fps.select("fp").distinct().mapInArrow(lean(_variants(distance)), "bit byte, variant long, fp long")
+    pairs = variants.repartition(F.col("bit"), F.col("variant")).sortWithinPartitions("bit", "variant").mapInArrow(lean(_linker(distance)), "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -439,8 +439,8 @@ def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: f
     """id, component: similar_groups() of texts(id, t), signed being (id, s0, s1, ...)."""
     names = [f"s{i}" for i in range(LANES)]
     classes = stored(signed.groupBy(*names).agg(F.min("id").alias("rep")))
-    slots = classes.select("rep", *names[: INDEXED + 1]).mapInArrow(_wide_variants, "slot short, variant int, sketch long, id long")
-    near = slots.repartition(F.col("slot"), F.col("variant")).sortWithinPartitions("slot", "variant", "id").mapInArrow(_wide_linker(bits_apart(similarity, 64) + 6), "a long, b long, dense boolean")
+    slots = classes.select("rep", *names[: INDEXED + 1]).mapInArrow(lean(_wide_variants), "slot short, variant int, sketch long, id long")
+    near = slots.repartition(F.col("slot"), F.col("variant")).sortWithinPartitions("slot", "variant", "id").mapInArrow(lean(_wide_linker(bits_apart(similarity, 64) + 6)), "a long, b long, dense boolean")
     near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense").distinct())
     pairs = near.where("not dense").select("a", "b")
     side = lambda c: classes.select(F.col("rep").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
