@@ -15,7 +15,11 @@ sixteen with 0.995. Texts of equal signatures count as alike without a look at t
 
 Copies collapse first: one row per distinct fingerprint goes on. Where a variant has many
 fingerprints, links are reduced to a spanning forest before they leave the task, so a
-cluster of n yields at most n - 1 rows, and no set of pairs is made. Links become
+cluster of n yields at most n - 1 rows, and no set of pairs is made. A variant with more
+than RUN of them is not held in a task: its fingerprints are dealt again by further bits.
+Those of a link agree in the variant's bits, so of d + 1 parts of all other bits one at
+least is equal; each part added to the variant's bits is a new, smaller variant. This goes
+on until none is too large, as n free bits leave 2^n fingerprints at most. Links become
 components by rounds of label spreading over written tables.
 
 For a similarity such a forest is of loose links, so it only says which signatures belong to
@@ -48,6 +52,8 @@ from .common import LOWER_TABLE, free_name, lean, stored
 #: Runs of a variant up to so many fingerprints are compared by shifts, longer ones by a
 #: breadth-first walk.
 SHORT_RUN = 12
+#: Runs of a variant of more fingerprints are dealt again by further bits.
+RUN = 4096
 _BLOCK = 512
 
 
@@ -96,17 +102,43 @@ def segments(distance: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _variants(distance: int):
+def _masks(distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The wildcard bit of each variant and the bits that it fixes."""
     rows = [(bit, ((1 << n) - 1) << a & ~(1 << bit)) for a, n in segments(distance) for bit in range(a, a + n)]
-    masks = np.array([m for _, m in rows], np.uint64)
-    marks = np.array([b for b, _ in rows], np.int8)
+    return np.array([b for b, _ in rows], np.int8), np.array([m for _, m in rows], np.uint64)
+
+
+def _variants(distance: int):
+    marks, masks = _masks(distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 fp = b.column(0).slice(at, 4096).to_numpy(zero_copy_only=False)
                 keys = (fp.view(np.uint64)[:, None] & masks).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(marks, len(fp)), pa.int8()), pa.array(keys.ravel()), pa.array(np.repeat(fp, len(masks)))], ["bit", "variant", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(marks, len(fp)), pa.int8()), pa.array(keys.ravel()), pa.array(np.repeat(fp, len(masks)))], ["mark", "variant", "fp"])
+
+    return run
+
+
+def _smaller_variants(distance: int, first: bool):
+    """Rows (mark, fp) of variants that are too large, as rows of distance + 1 smaller ones
+    each. mark is a wildcard bit at first, later, as in what is returned, the fixed bits."""
+    fixed = {int(b): int(m) for b, m in zip(*_masks(distance))}
+
+    def parts(mark: int) -> np.ndarray:
+        mask = fixed[mark] if first else mark % 2**64
+        free = [1 << i for i in range(64) if not mask >> i & 1]
+        edges = [len(free) * i // (distance + 1) for i in range(distance + 2)]
+        return np.array([mask | sum(free[x:y]) for x, y in zip(edges, edges[1:])], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks, fps = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for mark in np.unique(marks):
+                masks, fp = parts(int(mark)), fps[marks == mark]
+                keys = (fp.view(np.uint64)[:, None] & masks).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(masks.view(np.int64), len(fp))), pa.array(keys.ravel()), pa.array(np.repeat(fp, len(masks)))], ["mark", "variant", "fp"])
 
     return run
 
@@ -132,11 +164,12 @@ def _forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parents), np.concatenate(children)) if parents else (none, none)
 
 
-def _linker(distance: int):
-    def links(bit: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (bit[1:] != bit[:-1])])
+def _linker(distance: int, most: int):
+    def links(mark: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        """Links within runs of at most most fingerprints; the rows of larger ones."""
+        start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])
         length = np.diff(np.r_[start, len(fp)])
-        a, b = [], []
+        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         run = np.repeat(np.where(length <= SHORT_RUN, np.arange(len(start)), -1 - np.arange(len(start))), length)
         for lag in range(1, SHORT_RUN):
             i = np.flatnonzero((run[lag:] == run[:-lag]) & (run[lag:] >= 0))
@@ -144,43 +177,66 @@ def _linker(distance: int):
                 break
             i = i[_differing(fp[i], fp[i + lag]) <= distance]
             a.append(fp[i]), b.append(fp[i + lag])
-        for k in np.flatnonzero(length > SHORT_RUN):
+        for k in np.flatnonzero((length > SHORT_RUN) & (length <= most)):
             x, y = _forest(fp[start[k] : start[k] + length[k]], distance)
             a.append(x), b.append(y)
-        none = np.zeros(0, np.uint64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+        large = np.repeat(length > most, length)
+        return _found(np.concatenate(a), np.concatenate(b), mark[large], fp[large])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by bit and variant; a run that goes on in the next batch is held back."""
+        """Sorted by mark and variant; a run that goes on in the next batch is held back until
+        it is too large, then it passes through."""
         held: list[np.ndarray] | None = None
+        passing, none = None, np.zeros(0, np.uint64)
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            cols[2] = cols[2].view(np.uint64)
+            if passing and len(cols[0]):
+                other = np.flatnonzero((cols[0] != passing[0]) | (cols[1] != passing[1]))
+                end = other[0] if len(other) else len(cols[0])
+                yield _found(none, none, cols[0][:end], cols[2][:end])
+                cols = [c[end:] for c in cols]
+                passing = None if len(other) else passing
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            bit, key, fp = cols
-            if not len(fp):
+            mark, key, _ = cols
+            if not len(key):
                 continue
-            last = np.flatnonzero((key != key[-1]) | (bit != bit[-1]))
+            last = np.flatnonzero((key != key[-1]) | (mark != mark[-1]))
             cut = last[-1] + 1 if len(last) else 0
             held = [c[cut:] for c in cols]
             if cut:
-                yield _pairs(*links(bit[:cut], key[:cut], fp[:cut].view(np.uint64)))
-        if held is not None and len(held[2]):
-            yield _pairs(*links(held[0], held[1], held[2].view(np.uint64)))
+                yield links(*(c[:cut] for c in cols))
+            if len(held[0]) > most:
+                yield _found(none, none, held[0], held[2])
+                held, passing = None, (mark[-1], key[-1])
+        if held is not None and len(held[0]):
+            yield links(*held)
 
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _found(a: np.ndarray, b: np.ndarray, mark: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """Links a, b without a mark, then rows (fp, null, mark) of variants that are too large."""
+    columns = [pa.array(np.concatenate([a, fp]).view(np.int64)), pa.array([*b.view(np.int64).tolist(), *[None] * len(fp)], pa.int64()), pa.array([*[None] * len(a), *mark.tolist()], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "mark"])
 
 
-def fingerprint_links(fps: DataFrame, distance: int = 4) -> DataFrame:
+def fingerprint_links(fps: DataFrame, distance: int = 4, most: int = RUN) -> DataFrame:
     """a < b: links between distinct fingerprints (column fp) that connect every two of at
-    most distance differing bits, directly or over others that are linked."""
-    variants = fps.select("fp").distinct().mapInArrow(lean(_variants(distance)), "bit byte, variant long, fp long")
-    pairs = variants.repartition(F.col("bit"), F.col("variant")).sortWithinPartitions("bit", "variant").mapInArrow(lean(_linker(distance)), "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    most distance differing bits, directly or over others that are linked. most: how many
+    fingerprints of a variant a task holds, 2^distance at least."""
+    most, links, first = max(most, 1 << distance), None, True
+    variants = fps.select("fp").distinct().mapInArrow(lean(_variants(distance)), "mark byte, variant long, fp long")
+    while True:
+        found = stored(variants.repartition(F.col("mark"), F.col("variant")).sortWithinPartitions("mark", "variant").mapInArrow(lean(_linker(distance, most)), "a long, b long, mark long"))
+        now = found.where("mark is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = links.unionByName(now) if links is not None else now
+        large = found.where("mark is not null").select("mark", F.col("a").alias("fp"))
+        if large.isEmpty():
+            return links.distinct()
+        variants = large.mapInArrow(lean(_smaller_variants(distance, first)), "mark long, variant long, fp long").distinct()
+        first = False
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:

@@ -246,8 +246,6 @@ def test_fingerprints_and_links(spark, docs):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(0, 2**62, 12)]
     many = sorted({b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 7), replace=False)) for b in base for _ in range(40)})
-    links = simhash.fingerprint_links(spark.createDataFrame([(m - 2**64 if m >= 2**63 else m,) for m in many], "fp long"), 4)
-    labels = {r["node"] % 2**64: r["label"] % 2**64 for r in simhash.components(links).collect()}
     parent = {m: m for m in many}
 
     def find(x):
@@ -259,14 +257,35 @@ def test_fingerprints_and_links(spark, docs):
         for b in many[:i]:
             if (a ^ b).bit_count() <= 4:
                 parent[find(a)] = find(b)
-    groups, mine = {}, {}
+    groups = {}
     for m in many:
         groups.setdefault(find(m), set()).add(m)
-        mine.setdefault(labels.get(m, m), set()).add(m)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+    fps = spark.createDataFrame([(m - 2**64 if m >= 2**63 else m,) for m in many], "fp long")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    # with 16, variants are dealt again, whole ones and those that reach over batches
+    for most, rows_a_batch in ((simhash.RUN, "10000"), (16, "10000"), (16, "7")):
+        spark.conf.set(batch, rows_a_batch)
+        try:
+            labels = {r["node"] % 2**64: r["label"] % 2**64 for r in simhash.components(simhash.fingerprint_links(fps, 4, most)).collect()}
+        finally:
+            spark.conf.unset(batch)
+        mine = {}
+        for m in many:
+            mine.setdefault(labels.get(m, m), set()).add(m)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
     assert simhash.near_duplicates(empty(docs)).count() == 0
 
 
+def test_large_variants_are_dealt_again(spark):
+    """Fingerprints that all share most bits: every pair of the smaller variants is still met."""
+    from itertools import combinations
+
+    many = [sum(1 << k for k in c) for n in (0, 3) for c in combinations(range(40, 56), n)]
+    links = simhash.fingerprint_links(spark.createDataFrame([(m,) for m in many], "fp long"), 2, 64)
+    labels = {r["node"]: r["label"] for r in simhash.components(links).collect()}
+    assert labels.get(0, 0) == 0 and {labels[m] for m in many if m} == {min(m for m in many if m)}
+
+
 def test_near_dedup_keeps_one(spark):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(5000)]
