@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path below the folder that spark.checkpoint.dir names; only local masters, as in
+    tests, may do without and get a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base or 'file://' + tempfile.mkdtemp(prefix='spark-')}/files-{uuid.uuid4().hex}"
+
+
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     return raw.select(F.col("NID").cast("long").alias("nid"), F.col("Linestring").alias("wkt"))
