@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, importance, mixing, piece_bpe, ppm, secret_scan, simhash, topk, toxicity, url_filter
+from . import byte_bpe, exact_dedup, importance, mixing, piece_bpe, ppm, secret_scan, simhash, topk, toxicity, url_filter
 from .common import table
 
 #: The five url rules: host, path, verdict.
@@ -24,6 +24,15 @@ def model_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def ranks_path() -> str:
+    """The ranks of a byte-level BPE: BYTE_RANKS, or the file that the public package has."""
+    if path := os.environ.get("BYTE_RANKS"):
+        return path
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoding_digests(table(spark, sf_dir, "documents"), model_path())
 
@@ -70,6 +79,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoding_digests(table(spark, sf_dir, "documents"), ranks_path())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_topk, op4_mixing, op5_exact_dedup, op6_ppm, op7_importance, op8_simhash, op9_toxicity, op10_secret_scan, pipeline)
+    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_topk, op4_mixing, op5_exact_dedup, op6_ppm, op7_importance, op8_simhash, op9_toxicity, op10_secret_scan, op13_byte_bpe, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
