@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, importance, mixing, piece_bpe, ppm, secret_scan, simhash, topk, toxicity, url_filter
+from . import byte_bpe, collocations, exact_dedup, importance, mixing, piece_bpe, ppm, secret_scan, simhash, topk, toxicity, url_filter
 from .common import table
 
 #: The five url rules: host, path, verdict.
@@ -79,6 +79,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoding_digests(table(spark, sf_dir, "documents"), ranks_path())
 
@@ -90,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_topk, op4_mixing, op5_exact_dedup, op6_ppm, op7_importance, op8_simhash, op9_toxicity, op10_secret_scan, op13_byte_bpe, pipeline)
+    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_topk, op4_mixing, op5_exact_dedup, op6_ppm, op7_importance, op8_simhash, op9_toxicity, op10_secret_scan, op11_collocations, op13_byte_bpe, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,6 +125,31 @@ s as (select q.r, q.vec_id as query_id, c.r as other, c.vec_id, cast(sum(q.x * c
       from f q join f c on q.i = c.i and q.vec_id % 100 = 0 and c.vec_id <> q.vec_id group by all),
 p as (select *, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from p where rank <= 10""",
+    "op11_collocations": rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, [x for x in regexp_split_to_array(piece, '[\x20\x09]+') if x <> ''] as ws from pieces),
+spots as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from w),
+one as (select lang, ws[i] as p, count(*) as f from spots group by all),
+two as (select lang, ws[i] as x, ws[i + 1] as y, count(*) as f from spots where i < len(ws) group by all),
+three as (select lang, ws[i] as x, ws[i + 1] as y, ws[i + 2] as z, count(*) as f from spots where i + 1 < len(ws) group by all having count(*) >= 10),
+n as (select lang, cast(sum(f) as bigint) as n from one group by lang),
+most as (select lang, x, y, max(f) as most from (select lang, x, y, f from three union all select lang, y, z, f from three) group by all),
+cut as (
+  select t.lang, t.x || ' ' || t.y as phrase, t.f as a, a.f as l, b.f as r, 1 as k
+  from two t join one a on a.lang = t.lang and a.p = t.x join one b on b.lang = t.lang and b.p = t.y
+  left join most m on m.lang = t.lang and m.x = t.x and m.y = t.y
+  where t.f >= 10 and not coalesce(100 * m.most >= 50 * t.f, false)
+  union all
+  select t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, a.f, b.f, 1
+  from three t join one a on a.lang = t.lang and a.p = t.x join two b on b.lang = t.lang and b.x = t.y and b.y = t.z
+  union all
+  select t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, a.f, b.f, 2
+  from three t join two a on a.lang = t.lang and a.x = t.x and a.y = t.y join one b on b.lang = t.lang and b.p = t.z),
+scored as (select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint) as score from cut),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
+select p.lang, rank, phrase, a, l, r, n, score from placed p join n using (lang) where rank <= 2000""",
     "op5_exact_dedup": r"""
 with n as (
   select doc_id, coalesce(length(text), 0) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
