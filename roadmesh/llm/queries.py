@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, collocations, exact_dedup, importance, mixing, piece_bpe, ppm, secret_scan, simhash, topk, toxicity, url_filter
+from . import byte_bpe, collocations, exact_dedup, importance, mixing, negatives, piece_bpe, ppm, secret_scan, simhash, topk, toxicity, url_filter
 from .common import table
 
 #: The five url rules: host, path, verdict.
@@ -83,6 +83,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), topk.quantized(F.col("embedding"), 256).alias("v"))
+    return negatives.hard_negatives(rows, rows.where("id % 100 = 0"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoding_digests(table(spark, sf_dir, "documents"), ranks_path())
 
@@ -94,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_topk, op4_mixing, op5_exact_dedup, op6_ppm, op7_importance, op8_simhash, op9_toxicity, op10_secret_scan, op11_collocations, op13_byte_bpe, pipeline)
+    f.__name__: f for f in (op1_sentencepiece, op2_url_filter, op3_topk, op4_mixing, op5_exact_dedup, op6_ppm, op7_importance, op8_simhash, op9_toxicity, op10_secret_scan, op11_collocations, op12_hard_negatives, op13_byte_bpe, pipeline)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -150,6 +156,18 @@ scored as (select *, cast(1000000::hugeint * a * a // (l::hugeint * r) as bigint
 best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
 placed as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best)
 select p.lang, rank, phrase, a, l, r, n, score from placed p join n using (lang) where rank <= 2000""",
+    "op12_hard_negatives": """
+with n as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding from embeddings where vec_id is not null and label is not null),
+e as (select r, vec_id, label, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from n),
+f as (select r, vec_id, label, i, cast(floor(256 * cast(x as double)) as bigint) as x from e
+      where r not in (select r from e where x is null or not isfinite(x))),
+s as (select q.r, q.vec_id as anchor_id, c.r as other, c.vec_id, q.label = c.label as same, cast(sum(q.x * c.x) as bigint) as score
+      from f q join f c on q.i = c.i and q.vec_id % 100 = 0 and c.vec_id <> q.vec_id group by all),
+p as (select * from s where same qualify row_number() over (partition by r order by score desc, vec_id) <= 5),
+g as (select p.r, p.anchor_id, p.other, p.vec_id as positive_id, p.score as positive_score, s.vec_id as negative_id, s.score as negative_score,
+             cast(row_number() over (partition by p.r, p.other order by s.score desc, s.vec_id) as integer) as rank
+      from p join s on s.r = p.r and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from g where rank <= 5""",
     "op5_exact_dedup": r"""
 with n as (
   select doc_id, coalesce(length(text), 0) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as norm from documents),
