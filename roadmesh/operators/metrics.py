@@ -8,25 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .order import numbered
+from .ranks import ranked_columns
 
 
 def corr_matrix(df: DataFrame, cols: list[str], method: str = "pearson") -> DataFrame:
     """a, b, r for all pairs (a <= b) in one aggregation. Spearman takes average ranks first."""
     if method == "spearman":
-        for c in cols:
-            df = df.join(average_ranks(df, c), c, "left").withColumn(c, F.col("_rank")).drop("_rank")
+        df = ranked_columns(df, cols)
     pairs = list(combinations_with_replacement(cols, 2))
     one = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = one.unpivot([], list(one.columns), "pair", "r")
     return long.select(F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "r")
 
 
-def average_ranks(df: DataFrame, c: str) -> DataFrame:
-    """c, _rank: the mean place (from 1) of each value that isn't null."""
-    return numbered(df.select(c).where(F.col(c).isNotNull()), [c]).groupBy(c).agg((F.avg("at") + 1).alias("_rank"))
-
-
 def histogram(df: DataFrame, col: str, bins: int, low: float, high: float, group: list[str] | None = None) -> DataFrame:
     """Counts in equal bins over [low, high]; the last bin is closed."""
     step = (high - low) / bins
@@ -57,19 +51,6 @@ def key_pairs(df: DataFrame, key: str) -> DataFrame:
     return keys.select(F.col(key).alias("a")).join(keys.select(F.col(key).alias("b")), F.col("a") < F.col("b"))
 
 
-def wasserstein(df: DataFrame, key: str, value: str) -> DataFrame:
-    """a < b, distance: Wasserstein-1 of every two keys' empirical distributions. The number
-    of keys (cities) is small; rows meet as counts per distinct value."""
-    counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    counts = counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(key))).select(F.col(key).alias("k"), value, "p")
-    pairs = key_pairs(df, key)
-    flow = pairs.join(counts.withColumnRenamed("k", "a"), "a").select("a", "b", value, F.col("p").alias("d"))
-    flow = flow.unionByName(pairs.join(counts.withColumnRenamed("k", "b"), "b").select("a", "b", value, (-F.col("p")).alias("d"))).groupBy("a", "b", value).agg(F.sum("d").alias("d"))
-    w = W.partitionBy("a", "b").orderBy(value)
-    flow = flow.withColumns({"f": F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.lead(value).over(w)})
-    return flow.groupBy("a", "b").agg(F.sum(F.abs("f") * (F.col("next") - F.col(value))).alias("distance"))
-
-
 def js_distance(df: DataFrame, key: str, value: str, bins: int, low: float, high: float) -> DataFrame:
     """a < b, distance: Jensen-Shannon (natural log) of the keys' histograms on shared bins."""
     h = histogram(df, value, bins, low, high, [key])

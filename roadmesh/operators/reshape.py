@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def select_features(df: DataFrame, wanted: list[str]) -> DataFrame:
     return df.select([c for c in wanted if c in df.columns])
@@ -87,7 +89,9 @@ def feature_threshold(df: DataFrame, key: list[str], method: str, value: str = "
     if method == "fifth":
         r = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(value)))
         return df.withColumn("_r", r).where("_r <= 5").groupBy(*key).agg(F.min(value).alias("threshold"))
-    agg = {"zero": F.first(F.lit(0.0)), "mean+std": F.avg(value) + F.stddev_samp(value), "quantile": F.percentile(value, 0.75)}[method]
+    if method == "quantile":
+        return quantiles(df, key, value, [0.75]).withColumnRenamed(value, "threshold").drop("q")
+    agg = {"zero": F.first(F.lit(0.0)), "mean+std": F.avg(value) + F.stddev_samp(value)}[method]
     return df.groupBy(*key).agg(agg.alias("threshold"))
 
 

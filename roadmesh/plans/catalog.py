@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, grid, metrics, models, reshape, splits, temporal, tiles
+from ..operators import graph, grid, metrics, models, ranks, reshape, splits, temporal, tiles
 from .inputs import Inputs, with_inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,6 +173,11 @@ def a18_threshold_mean_std(i: Inputs) -> DataFrame:
     return rounded(reshape.feature_threshold(i.importance(), ["city"], "mean+std"))
 
 
+@query("select event_id, case when value>=0 then value end as value from importance")
+def a18_threshold_zero(i: Inputs) -> DataFrame:
+    return reshape.threshold_mask(i.importance(), ["feature"], "zero").select("event_id", "value")
+
+
 @query("select city, min(value) as threshold from (select city, value, row_number() over (partition by city order by value desc nulls last) as r from importance) where r<=5 group by 1")
 def a18_threshold_fifth(i: Inputs) -> DataFrame:
     return reshape.feature_threshold(i.importance(), ["city"], "fifth")
@@ -471,14 +476,37 @@ def g22_g24_raster(i: Inputs) -> DataFrame:
 # Distributions and scores
 
 
-@query("select 'f0' as a, 'f0' as b, 1.0::double as r union all select 'f0', 'f1', round(corr(f0,f1),6) from matrix union all select 'f0','f2', round(corr(f0,f2),6) from matrix union all select 'f1','f1',1.0 union all select 'f1','f2',round(corr(f1,f2),6) from matrix union all select 'f2','f2',1.0")
+_PAIRS = [(a, b) for k, a in enumerate(FEATURES) for b in FEATURES[k:]]
+
+
+def _matrix_sql(table: str) -> str:
+    """The correlations of all pairs of columns of table, long."""
+    wide = ", ".join(f"corr({a}, {b}) as {a}_{b}" for a, b in _PAIRS)
+    return f"select split_part(pair, '_', 1) as a, split_part(pair, '_', 2) as b, round(r,6) as r from (unpivot (select {wide} from {table}) on columns(*) into name pair value r)"
+
+
+@query(_matrix_sql("matrix"))
 def a28_corr(i: Inputs) -> DataFrame:
-    return rounded(metrics.corr_matrix(i.matrix(), ["f0", "f1", "f2"]))
+    return rounded(metrics.corr_matrix(i.matrix(), FEATURES))
 
 
-@query("select 'f0' as a, 'f0' as b, 1.0::double as r union all select 'f0','f1', round(corr(a,b),6) from (select rank() over (order by f0) + (count(*) over (partition by f0)-1)/2.0 as a, rank() over (order by f1) + (count(*) over (partition by f1)-1)/2.0 as b from matrix) union all select 'f1','f1',1.0")
+@query(_matrix_sql("(select " + ", ".join(f"rank() over (order by {c}) + (count(*) over (partition by {c})-1)/2.0 as {c}" for c in FEATURES) + " from matrix)"))
 def a29_w3_spearman(i: Inputs) -> DataFrame:
-    return rounded(metrics.corr_matrix(i.matrix(), ["f0", "f1"], "spearman"))
+    return rounded(metrics.corr_matrix(i.matrix(), FEATURES, "spearman"))
+
+
+def steps(i: Inputs) -> DataFrame:
+    """The matrix's features: those with even numbers in steps of a twentieth, so that values tie."""
+    return i.matrix().select("row_id", *((F.floor(F.col(c) * 20) if k % 2 == 0 else F.col(c)).alias(c) for k, c in enumerate(FEATURES)))
+
+
+_STEPS_SQL = "(select " + ", ".join(f"floor({c}*20) as {c}" if k % 2 == 0 else c for k, c in enumerate(FEATURES)) + ", row_id from matrix)"
+_SIGNS = ", ".join(f"sum(sign(p.{a}-q.{a})*sign(p.{b}-q.{b}))/sqrt(sum(abs(sign(p.{a}-q.{a})))*sum(abs(sign(p.{b}-q.{b})))) as {a}_{b}" for a, b in _PAIRS if a != b)
+
+
+@query(f"select split_part(pair, '_', 1) as a, split_part(pair, '_', 2) as b, round(tau,6) as tau from (unpivot (select {_SIGNS} from {_STEPS_SQL} p join {_STEPS_SQL} q on p.row_id<q.row_id) on columns(*) into name pair value tau)")
+def a30_kendall(i: Inputs) -> DataFrame:
+    return rounded(ranks.kendall(steps(i), FEATURES))
 
 
 @query("select city, least(cast(floor(jf/10.0::double) as bigint), 49) as bin, count(*) as n from jf where jf between 0 and 500 group by 1,2")
@@ -493,7 +521,7 @@ def a27_histogram_step(i: Inputs) -> DataFrame:
 
 @query("select a.city as a, b.city as b, round(sum(abs(f)*(nx-x)),6) as distance from (select distinct city from jf) a join (select distinct city from jf) b on a.city<b.city join lateral (select x, sum(d) over (order by x) as f, lead(x) over (order by x) as nx from (select jf as x, sum(case when city=a.city then 1.0::double/(select count(*) from jf j where j.city=a.city) else -1.0::double/(select count(*) from jf j where j.city=b.city) end) as d from jf where city in (a.city, b.city) group by 1)) on true group by 1,2")
 def a33_wasserstein(i: Inputs) -> DataFrame:
-    return rounded(metrics.wasserstein(i.jf(), "city", "jf"))
+    return rounded(ranks.wasserstein(i.jf(), "city", "jf"))
 
 
 @query("select x.city as a, y.city as b, round(sqrt(greatest(sum((case when p>0 then p*ln(p/((p+q)/2)) else 0 end)+(case when q>0 then q*ln(q/((p+q)/2)) else 0 end))/2,0)),6) as distance from (select distinct city from jf) x join (select distinct city from jf) y on x.city<y.city join (select c.city as c1, d.city as c2, b.bin, coalesce((select count(*) from jf where city=c.city and least(floor(jf/10.0::double),49)=b.bin),0)::double/(select count(*) from jf where city=c.city) as p, coalesce((select count(*) from jf where city=d.city and least(floor(jf/10.0::double),49)=b.bin),0)::double/(select count(*) from jf where city=d.city) as q from (select distinct city from jf) c, (select distinct city from jf) d, (select unnest(range(50)) as bin) b where c.city<d.city) z on z.c1=x.city and z.c2=y.city group by 1,2")

@@ -139,9 +139,13 @@ def g21_extent(i: Inputs) -> DataFrame:
     return tiles.extent(i.nodes())
 
 
-@query('select scale, "row", col, nid, v, case when t0>0 and t1<1 then \'crossing\' when t0>0 then \'tail_out\' when t1<1 then \'head_out\' else \'inside\' end as kind, round(x1+t0*(x2-x1),6) as xa, round(y1+t0*(y2-y1),6) as ya, round(x1+t1*(x2-x1),6) as xb, round(y1+t1*(y2-y1),6) as yb, round(len,6) as len from seg_tile join pieces using (nid, v) where len>0')
+_MICRO = lambda x: f"floor(({x})*1e6::double+0.5)/1e6::double"  # noqa: E731  the same in both engines, also where the seventh digit is a 5
+
+
+@query(f'select scale, "row", col, nid, v, case when t0>0 and t1<1 then \'crossing\' when t0>0 then \'tail_out\' when t1<1 then \'head_out\' else \'inside\' end as kind, {_MICRO("x1+t0*(x2-x1)")} as xa, {_MICRO("y1+t0*(y2-y1)")} as ya, {_MICRO("x1+t1*(x2-x1)")} as xb, {_MICRO("y1+t1*(y2-y1)")} as yb, round(len,6) as len from seg_tile join pieces using (nid, v) where len>0')
 def g18_clipped_edges(i: Inputs) -> DataFrame:
-    return rounded(tiles.clip_edges(seg_tile(i)).drop("a", "b"))
+    ends = {c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("xa", "ya", "xb", "yb")}
+    return tiles.clip_edges(seg_tile(i)).drop("a", "b").withColumns({**ends, "len": F.round("len", 6)})
 
 
 _CORNERS = "select (n_nationkey*37 % 100)/100.0::double as x, (n_nationkey*91 % 97)/97.0::double as y from nation"

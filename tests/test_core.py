@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from roadmesh.functions import text
-from roadmesh.operators import graph, grid, metrics, models, splits, temporal, tiles
+from roadmesh.operators import graph, grid, metrics, models, ranks, splits, temporal, tiles
 from roadmesh.sources import tables
 
 
@@ -79,7 +79,7 @@ def test_kappa(spark):
 
 def test_wasserstein_and_js(spark):
     d = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 5.0), ("b", 6.0), ("c", 0.0), ("c", 1.0)], "k string, x double")
-    w = {(r["a"], r["b"]): r["distance"] for r in metrics.wasserstein(d, "k", "x").collect()}
+    w = {(r["a"], r["b"]): r["distance"] for r in ranks.wasserstein(d, "k", "x").collect()}
     assert math.isclose(w[("a", "b")], 5.0) and abs(w[("a", "c")]) < 1e-12
     j = {(r["a"], r["b"]): r["distance"] for r in metrics.js_distance(d, "k", "x", 10, 0.0, 10.0).collect()}
     assert math.isclose(j[("a", "b")], math.sqrt(math.log(2))) and j[("a", "c")] == 0.0
