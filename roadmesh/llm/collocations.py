@@ -14,8 +14,8 @@ level at a time:
   last level give each pair's most frequent longer phrase.
 
 A phrase occurs at most as often as its parts. So a level extends phrases only where both parts
-have the least count. Tasks learn this from a table of bits, one for each hash of a frequent
-phrase, of a fixed size: a false hit costs a row, no count is changed and none is lost.
+have the least count. Tasks learn this from a table of bits of a fixed size, in which each
+frequent phrase has set two: a false hit costs a row, no count is changed and none is lost.
 
 Hot prefixes, those with at least 1/HOT of all words of the corpus and so at most HOT of them,
 are known after the first level; their stripes are cut into SLICES by a hash of the next word,
@@ -45,8 +45,9 @@ from .common import LOWER_TABLE, lean, stored
 
 #: The separators of pieces: .,;:!? and the controls 10 to 13.
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-#: Bits of the table of frequent phrases (4 MB), hot prefixes and their slices.
-BITS, HOT, SLICES = 1 << 25, 1024, 64
+#: Bits of the table of frequent phrases (8 MB), hot prefixes and their slices.
+_LOG_BITS = 26
+BITS, HOT, SLICES = 1 << _LOG_BITS, 1024, 64
 _END = b"\xff"  # no UTF-8 text holds it
 _TABLE = bytes(10 if b in SEPARATORS else 32 if b == 9 else LOWER_TABLE[b] for b in range(256))
 #: Words and cells that a task counts before it passes them on; ids have 21 bits.
@@ -54,14 +55,14 @@ _WORDS, _CELLS, _BYTES, _RUN = 1 << 19, 1 << 21, 1 << 22, 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _bit(hashes: list[np.ndarray]) -> np.ndarray:
-    """The bit of phrases whose words have these hashes."""
+def _bits(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """The two bits of phrases whose words have these hashes."""
     h = np.zeros(len(hashes[0]), np.uint64)
     for word in hashes:
         h = (h ^ word) * _MIX[0]
         h ^= h >> np.uint64(29)
         h *= _MIX[1]
-    return (h >> np.uint64(39)).astype(np.int64)  # 25 bits
+    return [(x >> np.uint64(64 - _LOG_BITS)).astype(np.int64) for x in (h, (h ^ h >> np.uint64(31)) * _MIX[0])]
 
 
 class _Words(dict):
@@ -91,13 +92,14 @@ def _bits_of(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """slot, mask: the bits of the phrases (lang and words) of a batch."""
         for b in batches:
+            if not b.num_rows:
+                continue
             seeds = {lang: xxhash.xxh64_intdigest(lang.encode(), 7) for lang in set(b.column(0).to_pylist())}
             seed = [seeds[lang] for lang in b.column(0).to_pylist()]
             hashes = [np.array([xxhash.xxh64_intdigest(w, s) for w, s in zip(b.column(1 + k).to_pylist(), seed)], np.uint64) for k in range(width)]
-            bit = np.unique(_bit(hashes)) if b.num_rows else np.zeros(0, np.int64)
-            slot, first = np.unique(bit >> 5, return_index=True)
-            mask = np.bitwise_or.reduceat(np.int64(1) << (bit & 31), first) if len(bit) else bit
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(mask)], ["slot", "mask"])
+            bit = np.unique(np.concatenate(_bits(hashes)))
+            slot, first = np.unique(bit >> 6, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(np.bitwise_or.reduceat(np.int64(1) << (bit & 63), first))], ["slot", "mask"])
 
     return run
 
@@ -106,11 +108,15 @@ def frequent_bits(phrases: DataFrame, width: int):
     """The broadcast table of bits of phrases(lang, w1, ...): BITS / 8 bytes, however many there are."""
     told = phrases.select("lang", *_columns(width)).mapInArrow(_bits_of(width), "slot int, mask long")
     rows = told.groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    table = np.zeros(BITS >> 5, np.uint32)
-    table[rows.column("slot").to_numpy()] = rows.column("mask").to_numpy().astype(np.uint32)
+    table = np.zeros(BITS >> 6, np.int64)
+    table[rows.column("slot").to_numpy()] = rows.column("mask").to_numpy()
     return phrases.sparkSession.sparkContext.broadcast(table)
 
 
+def _has(table: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    return np.logical_and.reduce([table[b >> 6] >> (b & 63) & 1 == 1 for b in bits])
+
+
 def _columns(width: int) -> list[str]:
     return [f"w{k + 1}" for k in range(width)]
 
@@ -143,8 +149,7 @@ def _cells(ids: np.ndarray, words: _Words, level: int, table: np.ndarray | None)
     at = np.flatnonzero(np.logical_and.reduce([ids[k : k + n] > 0 for k in range(level)]))
     if level > 1:
         hashes = np.array(words.hashes, np.uint64)
-        bit = _bit([hashes[ids[k : k + n + 1]] for k in range(level - 1)])
-        part = (table[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1) == 1
+        part = _has(table, _bits([hashes[ids[k : k + n + 1]] for k in range(level - 1)]))
         at = at[part[at] & part[at + 1]]
     key = ids[at]
     for k in range(1, level):
