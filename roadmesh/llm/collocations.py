@@ -2,8 +2,8 @@
 
 A stripe is the associative counter of a prefix: next word -> occurrences. Stripes of the same
 prefix are merged element by element, so tasks count in memory and shuffle one row for each
-prefix, with its next words beside each other. Everything comes from this one structure, one
-level at a time:
+first word, with the stripes of the prefixes that begin with it beside each other. Everything
+comes from this one structure, one level at a time:
 
 - the stripe of the empty prefix holds the words' counts; its total is n,
 - the stripe of a word holds the counts of the pairs that it begins,
@@ -17,9 +17,9 @@ A phrase occurs at most as often as its parts. So a level extends phrases only w
 have the least count. Tasks learn this from a table of bits of a fixed size, in which each
 frequent phrase has set two: a false hit costs a row, no count is changed and none is lost.
 
-Hot prefixes, those with at least 1/HOT of all words of the corpus and so at most HOT of them,
-are known after the first level; their stripes are cut into SLICES by a hash of the next word,
-so no task merges the stripe of a very common word. Merging runs on Spark's hash aggregation,
+Hot words, those with at least 1/HOT of all words of the corpus and so at most HOT of them, are
+known after the first level; the stripes that begin with them are cut into SLICES by a hash of
+the words that follow, so no task merges all stripes of a very common word. Merging runs on Spark's hash aggregation,
 which spills; lookups of hot words' counts are joined by broadcast (at most HOT rows), all
 others by a shuffle in which no key is hot.
 
@@ -45,7 +45,7 @@ from .common import LOWER_TABLE, lean, stored
 
 #: The separators of pieces: .,;:!? and the controls 10 to 13.
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
-#: Bits of the table of frequent phrases (8 MB), hot prefixes and their slices.
+#: Bits of the table of frequent phrases (8 MB), hot words and their slices.
 _LOG_BITS = 26
 BITS, HOT, SLICES = 1 << _LOG_BITS, 1024, 64
 _END = b"\xff"  # no UTF-8 text holds it
@@ -158,28 +158,34 @@ def _cells(ids: np.ndarray, words: _Words, level: int, table: np.ndarray | None)
 
 
 def _told(lang: str, counted: _Counted, level: int, hot: set[tuple]) -> Iterator[pa.RecordBatch]:
-    """The stripes of a task's cells: a row for each prefix, or each slice of a hot one."""
+    """The stripes of a task's cells: a row for each first word, or each slice of a hot one, with
+    the stripes of all prefixes that begin with it, one after the other."""
     words, (key, n) = counted.words, counted.merged()
     names, hashes, low = pa.array(words.names, pa.binary()), np.array(words.hashes, np.uint64), (1 << 21) - 1
-    mine = []  # the packed numbers of this lang's hot prefixes
-    for name, *prefix in hot:
-        if name == lang and all(w in words for w in prefix):
-            number = 0
-            for w in prefix:
-                number = number << 21 | words[w]
-            mine.append(number)
-    slices = np.where(np.isin(key >> 21, mine), (hashes[key & low] % np.uint64(SLICES)).astype(np.int64) + 1, 0)
-    if slices.any():
-        order = np.lexsort((slices, key >> 21))
-        key, n, slices = key[order], n[order], slices[order]
+    word = lambda k: key >> 21 * (level - 1 - k) & low
+    first = word(0) if level > 1 else np.zeros(len(key), np.int64)
+    mine = [words[w] for name, w in hot if name == lang and w in words]
+    slices = np.zeros(len(key), np.int64)
+    if level > 1 and mine:
+        slices = np.where(np.isin(first, mine), (_bits([hashes[word(k)] for k in range(1, level)])[0] % SLICES) + 1, 0)
+        order = np.lexsort((slices, first))
+        key, n, slices, first = key[order], n[order], slices[order], first[order]
     for a in range(0, len(key), 100_000):
-        part, piece = key[a : a + 100_000], slices[a : a + 100_000]
-        prefix = part >> 21
-        first = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (piece[1:] != piece[:-1])])
-        ends = pa.array(np.r_[first, len(part)].astype(np.int32))
-        before = [names.take(pa.array(prefix[first] >> 21 * (level - 2 - k) & low)) for k in range(level - 1)]
-        lists = [pa.ListArray.from_arrays(ends, x) for x in (names.take(pa.array(part & low)), pa.array(n[a : a + 100_000]))]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *before, pa.array(piece[first].astype(np.int32)), *lists], ["lang", *_columns(level - 1), "slice", "nexts", "counts"])
+        z = slice(a, a + 100_000)
+        at = np.flatnonzero(np.r_[True, (first[z][1:] != first[z][:-1]) | (slices[z][1:] != slices[z][:-1])])
+        ends = pa.array(np.r_[at, len(key[z])].astype(np.int32))
+        lists = [names.take(pa.array(word(k)[z])) for k in range(min(level - 1, 1), level)]
+        cols = [*([names.take(pa.array(first[z][at]))] if level > 1 else []), pa.array(slices[z][at].astype(np.int32)), *(pa.ListArray.from_arrays(ends, x) for x in (*lists, pa.array(n[z])))]
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), *cols], ["lang", *_key(level)[1:], *_cell(level), "counts"])
+
+
+def _key(level: int) -> list[str]:
+    """What stripes travel by."""
+    return ["lang", *(["w1"] if level > 1 else []), "slice"]
+
+
+def _cell(level: int) -> list[str]:
+    return _columns(level)[min(level - 1, 1) :]
 
 
 def _stripes(level: int, frequent, hot: set[tuple]):
@@ -216,17 +222,17 @@ def _stripes(level: int, frequent, hot: set[tuple]):
 
 def merged_stripes(docs: DataFrame, level: int, least: int = 1, frequent=None, hot: set[tuple] = frozenset()) -> DataFrame:
     """lang, w1, ..., f: the phrases of level words that occur least times or more, all of docs
-    (text, lang) counted. frequent: the bits of phrases of level - 1 words; hot: those prefixes
-    (lang, w1, ...) whose stripes are cut into slices."""
-    before, last = _columns(level - 1), f"w{level}"
-    schema = ", ".join(["lang string", *(f"{w} binary" for w in before), "slice int, nexts array<binary>, counts array<long>"])
+    (text, lang) counted. frequent: the bits of phrases of level - 1 words; hot: the words
+    (lang, w1) whose stripes are cut into slices."""
+    key, cell = _key(level), _cell(level)
+    kinds = {"lang": "string", "w1": "binary", "slice": "int"}
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), *(f"{c} array<binary>" for c in cell), "counts array<long>"])
     stripes = docs.mapInArrow(lean(_stripes(level, frequent, hot)), schema)
-    key = ["lang", *before, "slice"]
-    if before:  # stripes travel whole, and merge where they arrive
+    if level > 1:  # stripes travel whole, and merge where they arrive
         stripes = stripes.repartition(*key)
-    cells = stripes.select(*key, F.inline(F.arrays_zip("nexts", "counts")).alias(last, "c"))
-    counted = cells.groupBy(*key, last).agg(F.sum("c").alias("f"))  # the empty prefix: its next words are dealt
-    return counted.where(F.col("f") >= least).select("lang", *before, last, "f")
+    cells = stripes.select(*key, F.inline(F.arrays_zip(*cell, "counts")).alias(*cell, "c"))
+    counted = cells.groupBy(*key, *cell).agg(F.sum("c").alias("f"))  # the empty prefix: its next words are dealt
+    return counted.where(F.col("f") >= least).select("lang", *_columns(level), "f")
 
 
 def _with_count(df: DataFrame, counts: DataFrame, words: list[str], name: str, bar: float) -> DataFrame:
@@ -259,10 +265,10 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     one = stored(merged_stripes(docs, 1))
     n = stored(one.groupBy("lang").agg(F.sum("f").alias("n")))
     bar = max(((n.agg(F.sum("n")).first()[0]) or 0) / HOT, 1)
-    hot = lambda counts, width: {(r["lang"], *(bytes(r[w]) for w in _columns(width))) for r in counts.where(F.col("f") >= bar).select("lang", *_columns(width)).collect()}
+    hot = {(r["lang"], bytes(r["w1"])) for r in one.where(F.col("f") >= bar).select("lang", "w1").collect()}
     words = one.where(F.col("f") >= least)
-    two = stored(merged_stripes(docs, 2, least, frequent_bits(words, 1), hot(one, 1)))
-    three = stored(merged_stripes(docs, 3, least, frequent_bits(two, 2), hot(two, 2)))
+    two = stored(merged_stripes(docs, 2, least, frequent_bits(words, 1), hot))
+    three = stored(merged_stripes(docs, 3, least, frequent_bits(two, 2), hot))
 
     longer = F.explode(F.array(F.struct(F.col("w1").alias("w1"), F.col("w2").alias("w2")), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2"))))
     most = three.select("lang", longer.alias("p"), "f").select("lang", "p.*", "f").groupBy("lang", "w1", "w2").agg(F.max("f").alias("most"))
