@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
@@ -23,7 +25,7 @@ from .order import cut, numbered
 MODELS = {
     "LR": lambda: LinearRegression(regParam=0.0, solver="normal"),
     "Lasso": lambda: LinearRegression(elasticNetParam=1.0, regParam=1.0, standardization=False),
-    "RF": lambda: RandomForestRegressor(numTrees=200, maxDepth=10, featureSubsetStrategy="sqrt", seed=42),
+    "RF": lambda: RandomForestRegressor(numTrees=200, maxDepth=10, featureSubsetStrategy="sqrt", seed=42, maxMemoryInMB=1024),
     "GBM": lambda: GBTRegressor(maxIter=200, maxDepth=3, seed=42),
     "Additive": lambda: GBTRegressor(maxIter=30, maxDepth=1, seed=42),
 }
@@ -42,15 +44,20 @@ def ridge(df: DataFrame, y: str = "y", alpha: float = 1.0) -> LinearRegression:
 def fit_predict(df: DataFrame, cols: list[str], model: str, y: str = "y", fold: str = "fold", folds: int = 7) -> DataFrame:
     """Out-of-fold predictions p of each row, the scaler fitted on the training folds. model:
     a name of MODELS, or Ridge."""
-    a = assembled(df, cols)
-    out = None
-    for k in range(folds):
-        train = a.where(F.col(fold) != k)
-        est = (ridge(train, y) if model == "Ridge" else MODELS[model]()).setLabelCol(y).setFeaturesCol("scaled").setPredictionCol("p")
-        fitted = Pipeline(stages=[StandardScaler(withMean=True, inputCol="features", outputCol="scaled"), est]).fit(train)
-        part = fitted.transform(a.where(F.col(fold) == k)).drop("features", "scaled")
-        out = part if out is None else out.unionByName(part)
-    return out
+    a = assembled(df, cols).persist()
+    try:
+
+        def fit(k: int):
+            train = a.where(F.col(fold) != k)
+            est = (ridge(train, y) if model == "Ridge" else MODELS[model]()).setLabelCol(y).setFeaturesCol("scaled").setPredictionCol("p")
+            return Pipeline(stages=[StandardScaler(withMean=True, inputCol="features", outputCol="scaled"), est]).fit(train)
+
+        with ThreadPoolExecutor(min(folds, 4)) as pool:  # small jobs of several folds side by side
+            fitted = list(pool.map(fit, range(folds)))
+    finally:
+        a.unpersist()
+    parts = [m.transform(assembled(df, cols).where(F.col(fold) == k)).drop("features", "scaled") for k, m in enumerate(fitted)]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def degree2(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -111,18 +118,6 @@ def ridge_choice(df: DataFrame, cols: list[str], y: str = "y", alphas: tuple[flo
     return df.sparkSession.createDataFrame([(c, best, abs(float(w))) for c, w in zip(cols, cv.bestModel.coefficients)], "feature string, alpha double, importance double")
 
 
-def search(df: DataFrame, cols: list[str], y: str = "y", trees: tuple[int, ...] = (10, 20), depths: tuple[int, ...] = (4, 8), draws: int | None = None, seed: int = 42) -> DataFrame:
-    """trees, depth, mse of each setting tried: all of the grid, or so many seeded draws of it."""
-    cv = grid_search(df, cols, y, trees, depths)
-    tried = cv.getEstimatorParamMaps()
-    if draws:
-        tried = random.Random(seed).sample(tried, min(draws, len(tried)))
-        cv = cv.setEstimatorParamMaps(tried)
-    mse = cv.fit(assembled(df, cols)).avgMetrics
-    rf = cv.getEstimator()
-    return df.sparkSession.createDataFrame([(m[rf.numTrees], m[rf.maxDepth], float(x)) for m, x in zip(tried, mse)], "trees int, depth int, mse double")
-
-
 def save(model, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -167,13 +162,6 @@ def permutation_importance(df: DataFrame, model, cols: list[str], y: str = "y",
     return s.groupBy("feature").agg(F.avg("r2").alias("r2")).join(F.broadcast(base)).select("feature", (F.col("base") - F.col("r2")).alias("importance"))
 
 
-def grid_search(df: DataFrame, cols: list[str], y: str = "y", trees: tuple[int, ...] = (10, 20), depths: tuple[int, ...] = (4, 8)) -> CrossValidator:
-    """3-fold search of a forest by mean squared error; fit(assembled(df, cols)) runs it."""
-    rf = RandomForestRegressor(labelCol=y, featureSubsetStrategy="sqrt", seed=42)
-    grid = ParamGridBuilder().addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths)).build()
-    return CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol=y, metricName="mse"), numFolds=3, parallelism=2, seed=42)
-
-
 def forest_shape(model) -> tuple[float, float, float, float]:
     """Trees, the most leaves and the greatest depth of a tree, and their product."""
     t = float(model.getNumTrees)

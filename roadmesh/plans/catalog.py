@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, grid, metrics, models, ranks, reshape, splits, temporal, tiles
+from ..operators import graph, grid, metrics, models, order, ranks, reshape, splits, temporal, tiles
 from .inputs import Inputs, with_inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -618,14 +618,14 @@ def m5_m23_linear_attribution(i: Inputs) -> DataFrame:
 
 @query()
 def m9_m14_forest_cv(i: Inputs) -> DataFrame:
-    d = splits.shuffled_folds(i.matrix(), "row_id", 3)
-    return metrics.scores(models.fit_predict(d, FEATURES, "RF", folds=3), ["fold"])
+    d = order.cut(splits.shuffled_folds(i.matrix(), "row_id", 7))
+    return metrics.scores(models.fit_predict(d, FEATURES, "RF", folds=7), ["fold"])
 
 
 @query()
 def m6_m7_linear_cv(i: Inputs) -> DataFrame:
-    d = splits.contiguous_folds(i.matrix(), "row_id", 3)
-    scored = [models.fit_predict(d, FEATURES, m, folds=3).withColumn("model", F.lit(m)) for m in ("LR", "Ridge", "Lasso")]
+    d = order.cut(splits.contiguous_folds(i.matrix(), "row_id", 7))
+    scored = [models.fit_predict(d, FEATURES, m, folds=7).withColumn("model", F.lit(m)) for m in ("LR", "Ridge", "Lasso")]
     return metrics.scores(scored[0].unionByName(scored[1]).unionByName(scored[2]), ["model", "fold"])
 
 

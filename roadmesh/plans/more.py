@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, metrics, models, order, reshape, splits, temporal, tiles
+from ..operators import forests, graph, metrics, models, order, reshape, splits, temporal, tiles
 from .catalog import FEATURES, node_tile, query, rounded, seg_tile, seg_value, walk
 from .inputs import Inputs
 
@@ -227,9 +229,12 @@ def m8_ridge_choice(i: Inputs) -> DataFrame:
 
 @query()
 def m12_m13_search(i: Inputs) -> DataFrame:
-    d = i.matrix()
-    grid = models.search(d, FEATURES).withColumn("kind", F.lit("grid"))
-    return rounded(grid.unionByName(models.search(d, FEATURES, draws=2).withColumn("kind", F.lit("random"))))
+    """All 28 settings of trees and depth; the random search draws 50, so as many as there are."""
+    d = order.cut(splits.shuffled_folds(i.matrix(), "row_id", 3))
+    grid = order.cut(forests.search(d, FEATURES))
+    drawn = random.Random(42).sample([(t, k) for t in forests.TREES for k in forests.DEPTHS], min(50, len(forests.TREES) * len(forests.DEPTHS)))
+    asked = i.spark.createDataFrame(drawn, "trees int, depth int")
+    return rounded(grid.withColumn("kind", F.lit("grid")).unionByName(grid.join(asked, ["trees", "depth"]).withColumn("kind", F.lit("random"))))
 
 
 @query()
