@@ -23,6 +23,11 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def title(c: Column) -> Column:
+    """Lower case with a capital at the start of each word."""
+    return F.initcap(F.lower(c))
+
+
 def squeeze(c: Column) -> Column:
     """Commas to blanks, runs of blanks to one."""
     return F.regexp_replace(F.replace(c, F.lit(","), F.lit(" ")), " +", " ")

@@ -62,9 +62,9 @@ def js_distance(df: DataFrame, key: str, value: str, bins: int, low: float, high
     return m.groupBy("a", "b").agg(F.sqrt(F.greatest(F.sum(kl("pa") + kl("pb")) / 2, F.lit(0.0))).alias("distance"))
 
 
-def moments(df: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
-    """Means and sample covariances per key, long."""
-    one = df.groupBy(*key).agg(*[F.avg(c).alias(f"{c}|") for c in cols], *[F.covar_samp(a, b).alias(f"{a}|{b}") for a, b in combinations_with_replacement(cols, 2)])
+def moments(df: DataFrame, key: list[str], cols: list[str], epsilon: float = 0.0) -> DataFrame:
+    """Means and sample covariances per key, long; epsilon is added to the variances."""
+    one = df.groupBy(*key).agg(*[F.avg(c).alias(f"{c}|") for c in cols], *[(F.covar_samp(a, b) + (epsilon if a == b else 0.0)).alias(f"{a}|{b}") for a, b in combinations_with_replacement(cols, 2)])
     long = one.unpivot(key, [c for c in one.columns if c not in key], "pair", "value")
     return long.select(*key, F.split_part("pair", F.lit("|"), F.lit(1)).alias("a"), F.split_part("pair", F.lit("|"), F.lit(2)).alias("b"), "value")
 

@@ -98,6 +98,12 @@ def a3_a7_recurrent(i: Inputs) -> DataFrame:
     return rounded(temporal.CONGESTION["RECURRENT"](days(i), ["nid"]))
 
 
+@query("select nid%5 as city, hour, round(avg(jf),6) as jf from days group by 1,2")
+def a7_city_day(i: Inputs) -> DataFrame:
+    """The average day of all segments of a city; a segment belongs to one of five by its number."""
+    return rounded(temporal.city_day(days(i).withColumn("city", F.col("nid") % 5)))
+
+
 @query("select nid, hour, round(max(jf)-median(jf),6) as jf from days group by 1,2")
 def a4_u5_non_recurrent(i: Inputs) -> DataFrame:
     return rounded(temporal.CONGESTION["NON-RECURRENT"](days(i), ["nid"]))
@@ -514,9 +520,10 @@ def a26_histogram(i: Inputs) -> DataFrame:
     return metrics.histogram(i.jf(), "jf", 50, 0.0, 500.0, ["city"])
 
 
-@query("select cast(floor(jf/0.3::double) as bigint) as bin, count(*) as n from jf where floor(jf/0.3::double)<36 and jf>=0 group by 1")
+@query("select cast(floor(jf/45/0.3::double) as bigint) as bin, count(*) as n from jf where floor(jf/45/0.3::double)<36 and jf>=0 group by 1")
 def a27_histogram_step(i: Inputs) -> DataFrame:
-    return metrics.histogram_step(i.jf(), "jf")
+    """The stand-in runs to 490; over 45 it covers the range of jam factors."""
+    return metrics.histogram_step(i.jf().withColumn("jf", F.col("jf") / 45), "jf")
 
 
 @query("select a.city as a, b.city as b, round(sum(abs(f)*(nx-x)),6) as distance from (select distinct city from jf) a join (select distinct city from jf) b on a.city<b.city join lateral (select x, sum(d) over (order by x) as f, lead(x) over (order by x) as nx from (select jf as x, sum(case when city=a.city then 1.0::double/(select count(*) from jf j where j.city=a.city) else -1.0::double/(select count(*) from jf j where j.city=b.city) end) as d from jf where city in (a.city, b.city) group by 1)) on true group by 1,2")
@@ -529,9 +536,12 @@ def a34_js_distance(i: Inputs) -> DataFrame:
     return rounded(metrics.js_distance(i.jf(), "city", "jf", 50, 0.0, 500.0))
 
 
-@query("select city, 'f0' as a, 'f0' as b, round(covar_samp(f0,f0),6) as value from matrix group by 1 union all select city, 'f0','f1', round(covar_samp(f0,f1),6) from matrix group by 1 union all select city,'f1','f1', round(covar_samp(f1,f1),6) from matrix group by 1 union all select city,'f0','',round(avg(f0),6) from matrix group by 1 union all select city,'f1','',round(avg(f1),6) from matrix group by 1")
+_MOMENTS = ", ".join([f"covar_samp({a}, {b}){'+0.001' if a == b else ''} as {a}_{b}" for a, b in _PAIRS] + [f"avg({a}) as {a}_" for a in FEATURES])
+
+
+@query(f"select city, split_part(pair, '_', 1) as a, split_part(pair, '_', 2) as b, round(value,6) as value from (unpivot (select city, {_MOMENTS} from matrix group by city) on columns(* exclude (city)) into name pair value value)")
 def a35_moments(i: Inputs) -> DataFrame:
-    return rounded(metrics.moments(i.matrix(), ["city"], ["f0", "f1"]))
+    return rounded(metrics.moments(i.matrix(), ["city"], FEATURES, epsilon=0.001))
 
 
 @query("select city, round(1-sum((y-p)*(y-p))/sum((y-m)*(y-m)),6) as r2, round(avg((y-p)*(y-p)),6) as mse, round(1-var_pop(y-p)/var_pop(y),6) as explained from (select *, 2*f0-f1 as p, avg(y) over (partition by city) as m from matrix) group by 1")
@@ -559,12 +569,6 @@ def a19_otsu(i: Inputs) -> DataFrame:
     return metrics.otsu(i.jf(), "jf", 256, 0.0, 500.0)
 
 
-@query("select city, " + ", ".join(f'count(*) filter (where s={k}) as "{k}"' for k in range(1, 7)) + " from (select highway as city, 1+u%6 as s from edges) group by 1")
-def a32_street_distribution(i: Inputs) -> DataFrame:
-    d = i.edges().select(F.col("highway").alias("city"), (1 + F.col("u") % 6).alias("s"))
-    return d.groupBy("city").pivot("s", list(range(1, 7))).count().fillna(0)
-
-
 # Splits
 
 
@@ -606,9 +610,9 @@ def m1_m2_m3_scalers(i: Inputs) -> DataFrame:
     return rounded(models.global_max(models.min_max(models.standard(d, ["f0"]), ["f1"]), ["f2"]).select("row_id", "f0", "f1", "f2"))
 
 
-@query('select row_id, f0, f1, f0*f0 as "f0*f0", f0*f1 as "f0*f1", f1*f1 as "f1*f1" from matrix')
+@query("select row_id, " + ", ".join(FEATURES) + ", " + ", ".join(f'{a}*{b} as "{a}*{b}"' for a, b in _PAIRS) + " from matrix")
 def m4_degree2(i: Inputs) -> DataFrame:
-    return models.degree2(i.matrix().select("row_id", "f0", "f1"), ["f0", "f1"])
+    return models.degree2(i.matrix().select("row_id", *FEATURES), FEATURES)
 
 
 @query("select row_id, 'f0' as feature, round((f0-(select avg(f0) from matrix))*(select regr_slope(y, f0) from matrix),6) as value from matrix")

@@ -3,6 +3,7 @@ new folder and read again equals what SQL says of the tables."""
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.ml.regression import LinearRegressionModel
@@ -16,6 +17,7 @@ from .catalog import TIME, query, rounded
 from .inputs import Inputs
 
 CITIES = ["click", "view"]
+ALL = ["click", "error", "purchase", "signup", "view"]
 _CITIES = "('" + "', '".join(CITIES) + "')"
 
 
@@ -30,11 +32,12 @@ def io1_segments(i: Inputs) -> DataFrame:
     return read.join(ends.join(nodes, "v"), ["nid", "x2", "y2"]).select("nid", "v", "x1", "y1", "x2", "y2")
 
 
-@query("select n.nid, timestamp '2024-01-01 00:00:00' + h.h * interval 1 hour as ts, round(b.jf,6) as jf from (select distinct nid from bins) n cross join (select unnest(range(24)) as h) h left join bins b on b.nid=n.nid and b.bin=h.h")
+@query("select n.nid, timestamp '2024-01-01 00:00:00' + h.h * interval 1 hour as ts, round(b.jf,6) as jf from (select distinct nid from bins) n cross join (select unnest(range((select max(bin)+1 from bins))) as h) h left join bins b on b.nid=n.nid and b.bin=h.h")
 def io2_wide_series(i: Inputs) -> DataFrame:
-    """The first day of each segment, hours without a value included, as a wide table."""
-    path, hours = tables.new_folder(i.spark), [f"2024-01-01 {h:02}:00:00" for h in range(24)]
-    bins = temporal.resample_mean(i.jf(), ["nid"], 6, ts=TIME)
+    """All hours of each segment, those without a value included, as a wide table."""
+    path, bins = tables.new_folder(i.spark), temporal.resample_mean(i.jf(), ["nid"], 6, ts=TIME)
+    last = bins.agg(F.max("bin")).first()[0]
+    hours = [str(datetime(2024, 1, 1) + timedelta(hours=h)) for h in range((last or 0) + 1)]
     wide = bins.groupBy(F.col("nid").alias("NID")).agg(*[F.max(F.when(F.col("bin") == h, F.col("jf"))).alias(name) for h, name in enumerate(hours)])
     tables.write_report(wide, path)
     return rounded(temporal.jf_to_long(tables.read_jf_wide(i.spark, path)).select("nid", F.col("ts").cast("timestamp_ntz").alias("ts"), "jf"))
@@ -102,15 +105,15 @@ def io12_append(i: Inputs) -> DataFrame:
     return i.spark.read.parquet(path)
 
 
-@query(f"select city, k.k as kind, nid::varchar || case when k.k='jf' then ',' || event_id::varchar else '' end as value from jf cross join (select unnest(['jf', 'linestring']) as k) k where city in {_CITIES}")
+@query(f"select city, k.k as kind, nid::varchar || case when k.k='jf' then ',' || event_id::varchar else '' end as value from jf cross join (select unnest(['jf', 'linestring']) as k) k where city is not null")
 def io14_routing(i: Inputs) -> DataFrame:
     """Raw files whose names say the city and the kind."""
     path = tables.new_folder(i.spark)
-    for city in CITIES:
+    for city in ALL:
         d = i.jf().where(F.col("city") == city)
         for kind, value in (("jf", F.concat_ws(",", "nid", "event_id")), ("linestring", F.col("nid").cast("string"))):
             d.select(value.alias("value")).write.option("mapreduce.output.basename", f"{city.title()}_{kind}").text(f"{path}/{city}/{kind}")
-    return tables.route_raw_files(i.spark, path, CITIES).select("city", "kind", "value")
+    return tables.route_raw_files(i.spark, path, ALL).select("city", "kind", "value")
 
 
 @query("select row_id, round(f0*(select regr_slope(y,f0) from matrix)+(select regr_intercept(y,f0) from matrix),4) as prediction from matrix where f0 is not null and y is not null")

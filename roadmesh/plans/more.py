@@ -31,9 +31,12 @@ def t11_no_missing_target(i: Inputs) -> DataFrame:
     return reshape.require_no_null(i.matrix(), "y").select("row_id", "y")
 
 
-@query("select nid, " + ", ".join(f"arg_min(jf, event_id) filter (where city='{c}') as {c}" for c in ("click", "view")) + " from jf group by 1")
+_KINDS = ["click", "purchase", "signup", "view", "error"]
+
+
+@query("select nid, " + ", ".join(f"arg_min(jf, event_id) filter (where city='{c}') as {c}" for c in _KINDS) + " from jf group by 1")
 def t17_pivot_first(i: Inputs) -> DataFrame:
-    return reshape.pivot_first(i.jf(), ["nid"], "city", "jf", ["click", "view"], "event_id")
+    return reshape.pivot_first(i.jf(), ["nid"], "city", "jf", _KINDS, "event_id")
 
 
 @query('select scale, "row", col, 0.0::double as jf from (select distinct scale, "row", col from seg_tile)')
@@ -239,11 +242,11 @@ def m12_m13_search(i: Inputs) -> DataFrame:
 
 @query()
 def m10_m11_u3_boosted(i: Inputs) -> DataFrame:
-    """Out-of-sample scores of the boosted trees named, fitted on the rows not held out; 20 rounds."""
+    """Out-of-sample scores of the boosted trees named, fitted on the rows not held out."""
     d = splits.hold_out(i.matrix(), "row_id").withColumn("fold", F.col("test").cast("int"))
     out = None
     for name in ("GBM", "Additive"):
-        m = models.MODELS[name]().setMaxIter(20).setLabelCol("y").fit(models.assembled(d.where("fold = 0"), FEATURES))
+        m = models.MODELS[name]().setLabelCol("y").fit(models.assembled(d.where("fold = 0"), FEATURES))
         part = m.transform(models.assembled(d.where("fold = 1"), FEATURES)).select(F.lit(name).alias("model"), "y", F.col("prediction").alias("p"))
         out = part if out is None else out.unionByName(part)
     return rounded(metrics.scores(out, ["model"]))
@@ -253,3 +256,9 @@ def m10_m11_u3_boosted(i: Inputs) -> DataFrame:
 def f19_f20_forest_shape(i: Inputs) -> DataFrame:
     m = models.MODELS["RF"]().setNumTrees(20).setLabelCol("y").fit(models.assembled(i.matrix(), FEATURES))
     return i.spark.createDataFrame([models.forest_shape(m)], "t double, l double, d double, tld double")
+
+
+@query("select event_id, upper(city[1]) || city[2:] as title, replace(city, 'i', '_') as replaced, round_even(jf/4, 0) as half_even from (select event_id, city, floor(jf)::double as jf from jf)")
+def f3_f11_title_and_half_even(i: Inputs) -> DataFrame:
+    d = i.jf()
+    return d.select("event_id", T.title(F.col("city")).alias("title"), F.replace("city", F.lit("i"), F.lit("_")).alias("replaced"), F.bround(F.floor("jf").cast("double") / 4, 0).alias("half_even"))
