@@ -108,24 +108,6 @@ def jf_against_ratio(jf: DataFrame, free_flow: DataFrame, speed: DataFrame, key:
     return jf.join(free_flow.select("nid", "ff"), "nid").join(speed.select("nid", *key, "sp"), ["nid", *key]).withColumn("ratio", ratio)
 
 
-def warping_distance(series: DataFrame, key: str, values: str = "values") -> DataFrame:
-    """a < b, distance: dynamic time warping of every two of a few series (arrays of numbers),
-    steps costing the absolute difference. Rows of the table of costs are folded over one array."""
-    s = series.select(F.col(key).alias("k"), F.col(values).cast("array<double>").alias("v"))
-    pairs = key_pairs(s, "k").join(s.select(F.col("k").alias("a"), F.col("v").alias("va")), "a").join(s.select(F.col("k").alias("b"), F.col("v").alias("vb")), "b")
-    far = F.lit(float("inf"))
-    start = F.concat(F.array(F.lit(0.0)), F.array_repeat(far, F.size("vb")))  # costs of the row before; the first cell lies before both series
-
-    def next_row(before, x):
-        def put(row, j):
-            best = F.least(F.element_at(row, -1), F.get(before, j), F.get(before, j + 1))
-            return F.concat(row, F.array(F.abs(x - F.get(F.col("vb"), j)) + best))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size("vb") - 1), F.array(far), put)
-
-    return pairs.select("a", "b", F.element_at(F.aggregate("va", start, next_row), -1).alias("distance"))
-
-
 def score_table(scored: DataFrame, fold: str, folds: int, value: str = "r2", key: list[str] | None = None) -> DataFrame:
     """Mean and population std of a score over the folds, and the score of each fold."""
     return scored.groupBy(*(key or [])).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), *[F.max(F.when(F.col(fold) == k, F.col(value))).alias(f"fold{k}") for k in range(folds)])

@@ -139,12 +139,18 @@ def extent(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n"))
 
 
-def rasterize(pieces: DataFrame, size: int, value: str = "value", order: list[str] | None = None) -> DataFrame:
+def rasterize(pieces: DataFrame, size: int, value: str = "value", order: list[str] | None = None, part: list[str] | None = None) -> DataFrame:
     """r, c, value of the cells along each piece of the unit square, in equal steps of at most a
-    cell; of several pieces in a cell the last by order wins. Pieces with an end outside go."""
+    cell; of several pieces in a cell the last by order wins. Pieces with an end outside go, and
+    with part (the columns that name a part) so do the pieces of the part that come after one."""
     inside = lambda c: (F.col(c) > 0) & (F.col(c) < 1)
     cell = lambda c: F.floor(F.col(c) * (size - 1))
-    d = pieces.where(inside("x1") & inside("x2") & inside("y1") & inside("y2")).withColumns({"_r1": cell("y1"), "_r2": cell("y2"), "_c1": cell("x1"), "_c2": cell("x2")})
+    fits = inside("x1") & inside("x2") & inside("y1") & inside("y2")
+    if part:
+        rest = F.struct(*(c for c in order or ["nid"] if c not in part))
+        out = pieces.where(~fits).groupBy(*part).agg(F.min(rest).alias("_out"))
+        pieces = pieces.join(out, part, "left").where(F.col("_out").isNull() | (rest < F.col("_out"))).drop("_out")
+    d = pieces.where(fits).withColumns({"_r1": cell("y1"), "_r2": cell("y2"), "_c1": cell("x1"), "_c2": cell("x2")})
     d = d.withColumn("_k", F.greatest(F.abs(F.col("_r2") - F.col("_r1")), F.abs(F.col("_c2") - F.col("_c1")))).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k"))))
     step = lambda a, b: F.floor(F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.greatest(F.col("_k"), F.lit(1)) + 0.5)
     return d.groupBy(step("_r1", "_r2").alias("r"), step("_c1", "_c2").alias("c")).agg(F.max_by(value, F.struct(*(order or ["nid"]))).alias("value"))

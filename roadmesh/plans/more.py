@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import forests, graph, metrics, models, order, reshape, splits, temporal, tiles
+from ..operators import clusters, forests, graph, metrics, models, order, reshape, splits, temporal, tiles
 from .catalog import FEATURES, node_tile, query, rounded, seg_tile, seg_value, walk
 from .inputs import Inputs
 
@@ -164,11 +164,11 @@ def g20_inside_hull(i: Inputs) -> DataFrame:
 
 
 _RASTER = """select r, c, (arg_max(nid, nid*10000000+v) % 10)::double as value from (select nid, v, cast(floor(r1+(r2-r1)*i/greatest(k,1)+0.5) as bigint) as r, cast(floor(c1+(c2-c1)*i/greatest(k,1)+0.5) as bigint) as c
-  from (select *, unnest(range(cast(k as bigint)+1)) as i from (select *, greatest(abs(r2-r1), abs(c2-c1)) as k from (select nid, v, floor(y1*99) as r1, floor(y2*99) as r2, floor(x1*99) as c1, floor(x2*99) as c2 from pieces where least(x1,x2,y1,y2)>0 and greatest(x1,x2,y1,y2)<1)))) group by 1,2"""
+  from (select *, unnest(range(cast(k as bigint)+1)) as i from (select *, greatest(abs(r2-r1), abs(c2-c1)) as k from (select nid, v, floor(y1*99) as r1, floor(y2*99) as r2, floor(x1*99) as c1, floor(x2*99) as c2 from (select *, min(case when not (least(x1,x2,y1,y2)>0 and greatest(x1,x2,y1,y2)<1) then v end) over (partition by nid) as stop from pieces) where least(x1,x2,y1,y2)>0 and greatest(x1,x2,y1,y2)<1 and (stop is null or v<stop))))) group by 1,2"""
 
 
 def raster(i: Inputs) -> DataFrame:
-    return tiles.rasterize(i.pieces().withColumn("value", (F.col("nid") % 10).cast("double")), 100, "value", ["nid", "v"])
+    return tiles.rasterize(i.pieces().withColumn("value", (F.col("nid") % 10).cast("double")), 100, "value", ["nid", "v"], ["nid"])
 
 
 @query(_RASTER)
@@ -217,7 +217,7 @@ def m24_fold_attribution(i: Inputs) -> DataFrame:
 @query()
 def m27_warping(i: Inputs) -> DataFrame:
     hours = i.jf().groupBy("city", F.hour("ts").alias("hour")).agg(F.avg("jf").alias("jf"))
-    return rounded(metrics.warping_distance(reshape.sorted_values(hours, ["city"], "hour", "jf"), "city"))
+    return rounded(clusters.warping_pairs(reshape.sorted_values(hours, ["city"], "hour", "jf"), "city"))
 
 
 @query()
@@ -262,3 +262,27 @@ def f19_f20_forest_shape(i: Inputs) -> DataFrame:
 def f3_f11_title_and_half_even(i: Inputs) -> DataFrame:
     d = i.jf()
     return d.select("event_id", T.title(F.col("city")).alias("title"), F.replace("city", F.lit("i"), F.lit("_")).alias("replaced"), F.bround(F.floor("jf").cast("double") / 4, 0).alias("half_even"))
+
+
+def importance_series(i: Inputs) -> DataFrame:
+    """key (city and feature) and values, its mean importance over the scales, z-normalised."""
+    mean = i.importance().groupBy(F.concat_ws("-", "city", "feature").alias("key"), "scale").agg(F.avg("value").alias("value")).where("value is not null")
+    return reshape.sorted_values(reshape.z_normal(mean, ["key"], "value"), ["key"], "scale", "z")
+
+
+@query()
+def m26_m27_m29_m30_warped_clusters(i: Inputs) -> DataFrame:
+    """Three clusters of the importance series by warping distance: size and median series."""
+    s = order.cut(importance_series(i))
+    found = clusters.medoids(clusters.both_ways(clusters.warping_pairs(s, "key")), 3)
+    return clusters.medians(found, s, "key").select("medoid", "size", F.array_join(F.transform("medians", lambda x: F.round(x, 6).cast("string")), ",").alias("medians"))
+
+
+@query()
+def m28_warped_choice_of_k(i: Inputs) -> DataFrame:
+    """Inertia and silhouette of 2 to 10 clusters by warping distance."""
+    both, out = clusters.both_ways(clusters.warping_pairs(importance_series(i), "key")), None
+    for k in range(2, 11):
+        one = clusters.quality(both, clusters.medoids(both, k)).select(F.lit(k).alias("k"), "inertia", "silhouette")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from roadmesh.functions import text
-from roadmesh.operators import graph, grid, metrics, models, ranks, splits, temporal, tiles
+from roadmesh.operators import clusters, graph, grid, metrics, models, ranks, splits, temporal, tiles
 from roadmesh.sources import tables
 
 
@@ -165,7 +165,7 @@ def test_warping(spark):
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             cost[i, j] = abs(x - y) + min(cost.get(k, math.inf) for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)))
-    got = metrics.warping_distance(spark.createDataFrame([("a", a), ("b", b)], "k string, values array<double>"), "k").first()
+    got = clusters.warping_pairs(spark.createDataFrame([("a", a), ("b", b)], "k string, values array<double>"), "k").first()
     assert math.isclose(got["distance"], cost[3, 4])
 
 
