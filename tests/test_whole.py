@@ -44,7 +44,7 @@ def test_contraction_of_all_edges(spark):
 
 def test_linear_models_are_all_scored(spark):
     got = {(r["model"], r["fold"]) for r in catalog.m6_m7_linear_cv(Inputs(spark, "/root/testdata/sf0.001")).collect()}
-    assert got == {(m, k) for m in ("LR", "Ridge", "Lasso") for k in range(3)}
+    assert got == {(m, k) for m in ("LR", "Ridge", "Lasso") for k in range(7)}
 
 
 def test_centroid_distances(spark):
