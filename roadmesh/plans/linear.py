@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import linear, ranks, splits
-from .catalog import FEATURES, query, rounded
+from ..operators import cities, linear, splits
+from . import cities as city_plans
+from .catalog import FEATURES, query, rounded, seg_value
 from .inputs import Inputs
 
 ALPHAS = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]
@@ -20,10 +21,9 @@ def city_folds(i: Inputs) -> DataFrame:
 _FOLDS = "(select *, ntile(7) over (partition by city order by row_id)-1 as fold from matrix)"
 
 
-def fits_sql(rows: str, group: str, fold: str, alphas: list[float]) -> str:
+def fits_sql(rows: str, group: str, fold: str, alphas: list[float], xs: list[str] = FEATURES) -> str:
     """Common tables that end in fits(group, fold, alpha, n_train, n_test, intercept, w_*, b_*, r2, mse):
     the normal equations of every fold, solved by elimination, a step per table."""
-    xs = FEATURES
     pairs = [(a, b) for k, a in enumerate(xs) for b in xs[k:]]
     p = lambda a, b: f"p_{a}_{b}" if (a, b) in pairs else f"p_{b}_{a}"
     sums = {"n": "count(*)::double", "sy": "sum(y)", "syy": "sum(y*y)", **{f"s_{a}": f"sum({a})" for a in xs}, **{p(a, b): f"sum({a}*{b})" for a, b in pairs}, **{f"xy_{a}": f"sum({a}*y)" for a in xs}}
@@ -73,3 +73,27 @@ def m19_a16_a17_city_scores(i: Inputs) -> DataFrame:
 def m8_city_ridge_choice(i: Inputs) -> DataFrame:
     """The alpha of seven that does best over a city's folds, and its absolute coefficients."""
     return rounded(linear.ridge_choice(linear.fit_folds(city_folds(i), ["city"], "fold", FEATURES, "y", ALPHAS), ["city"], FEATURES))
+
+
+#: The tile features that the spatial folds train on.
+TILE_XS = ["n", "m", "edge_length_avg", "streets_per_node_avg"]
+_TILE = 'city, scale, "row", col'
+_MATRIX_SQL = f"""(select f.*, j.y from (select {_TILE}, n::double as n, m::double as m, edge_length_avg, streets_per_node_avg from ({city_plans.CITY_FEATURES_SQL})) f
+  join (select t.city, t.scale, t."row", t.col, avg(v.jf) as y from city_seg_tile t join seg_value v on v.nid=t.nid group by all) j using ({_TILE}))"""
+_STRIPS_SQL = f"""tm as materialized (select * from {_MATRIX_SQL}),
+sv as (select *, row_number() over (partition by city, scale order by x)-1 as i, count(*) over (partition by city, scale) as total from (select distinct city, scale, unnest([col, col+1]) as x from tm)),
+se as (select city, scale, row_number() over (partition by city, scale order by x)-1 as k, x as a, lead(x) over (partition by city, scale order by x) as b from sv where (i % greatest(total//5, 1)=0 and i<5*greatest(total//5, 1)) or i=total-1),
+tiled as materialized (select tm.*, strip from tm join (select {_TILE}, min(k) as strip from tm join se using (city, scale) where col>=a and col+1<=b group by all) using ({_TILE}))"""
+
+
+@query(f"select * from (with {_STRIPS_SQL}, {fits_sql('tiled', 'city, scale', 'strip', [1.0], TILE_XS)} select city, scale, strip, n_train, n_test, round(r2,4) as r2, round(mse,4) as mse, {', '.join(f'round(b_{a},4) as {a}' for a in TILE_XS)} from fits)")
+def v3_v6_m6_strip_fits(i: Inputs) -> DataFrame:
+    """Each vertical strip of a city's tiles held out in turn: ridge on the other strips, scored
+    on it; strips where either side has fewer than five tiles go."""
+    values = seg_value(i).join(city_plans.pieces(i).select("city", "nid").distinct(), "nid")
+    y = cities.congestion(city_plans.seg_tile(i), values).where("mean is not null").select(*cities.CITY_KEY, F.col("mean").alias("y"))
+    f = cities.features(city_plans.tile_edges(i), city_plans.grids(i)).select(*cities.CITY_KEY, *TILE_XS)
+    t = f.join(y, cities.CITY_KEY).withColumn("next", F.col("col") + 1)
+    folds = splits.strips_within(t, ["city", "scale"], "col", "next", 5)
+    got = linear.fit_folds(folds, ["city", "scale"], "strip", TILE_XS, "y", [1.0])
+    return rounded(got.select("city", "scale", F.col("strip").cast("long").alias("strip"), "n_train", "n_test", "r2", "mse", *(F.get("scaled", F.lit(k)).alias(a) for k, a in enumerate(TILE_XS))), 4)
