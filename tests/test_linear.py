@@ -55,3 +55,14 @@ def test_no_rows_constant_columns_and_folds_within(spark, rows):
     assert one["scaled"][1] == 0.0
     f = splits.contiguous_folds_within(d.selectExpr("g", "monotonically_increasing_id() as id"), ["g"], "id", 7).groupBy("g", "fold").count().collect()
     assert sorted(r["count"] for r in f if r["g"] == "p") == [8, 8, 8, 9, 9, 9, 9] and sorted(r["count"] for r in f if r["g"] == "r") == [1] * 6 + [2]
+
+
+def test_strips_within_equal_strips_of_each_group(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, int(x), int(x) + 1) for g, n in (("p", 9), ("q", 4), ("r", 1)) for x in rng.choice(12, n, replace=False)]
+    d = spark.createDataFrame(rows, "g string, w int, e int")
+    got = sorted(map(tuple, splits.strips_within(d, ["g"], "w", "e", 3).collect()))
+    want = []
+    for g in "pqr":
+        want += [tuple(r) for r in splits.strips(d.where(f"g = '{g}'"), "w", "e", 3).collect()]
+    assert got == sorted(want) and got
