@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -76,6 +77,23 @@ def io7_io13_boundary(i: Inputs) -> DataFrame:
     return rounded(tables.read_boundary(i.spark, path))
 
 
+@query("""select * from (with b as (select row_number() over (order by street_count)-1 as r, max(y) as n, max(x) as e, min(y) as s, min(x) as w from nodes group by street_count),
+  a as (select r//2 as feature, r%2 as part, 0 as ring, n, e, s, w from b union all select r//2, r%2, 1, n-(n-s)/4, e-(e-w)/4, s+(n-s)/4, w+(e-w)/4 from b)
+  select feature::integer as feature, part::integer as part, ring, p.p as place, round(case when p.p in (1, 2) then e else w end, 6) as x, round(case when p.p in (2, 3) then n else s end, 6) as y from a cross join (select unnest(range(5))::integer as p) p)""")
+def io7_rings(i: Inputs) -> DataFrame:
+    """Boxes with a hole, two to a MultiPolygon, as GeoJSON, read with all their rings."""
+    path = tables.new_folder(i.spark)
+    b = i.nodes().groupBy("street_count").agg(F.max("y").alias("n"), F.max("x").alias("e"), F.min("y").alias("s"), F.min("x").alias("w"))
+    corner = lambda x, y, dx, dy: F.array(F.col(x) + dx * (F.col("e") - F.col("w")) / 4, F.col(y) + dy * (F.col("n") - F.col("s")) / 4)
+    ring = lambda k: F.array(corner("w", "s", k, k), corner("e", "s", -k, k), corner("e", "n", -k, -k), corner("w", "n", k, -k), corner("w", "s", k, k))
+    r = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("street_count")) - 1  # a row for each street count
+    parts = b.select(r.alias("r"), F.array(ring(0), ring(1)).alias("rings")).groupBy(F.floor(F.col("r") / 2).alias("feature")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "rings"))), lambda s: s["rings"]).alias("coordinates"))
+    one = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("MultiPolygon").alias("type"), "coordinates").alias("geometry")))
+    features = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("feature", one.alias("f")))), lambda s: s["f"]), ",").alias("f"))
+    features.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("value")).write.text(path)
+    return rounded(tables.read_rings(i.spark, path))
+
+
 _MEAN, _MOST = "select nid, round(avg(jf),6) as jf from jf group by 1", "select nid, round(max(jf),6) as jf from jf group by 1"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cities, linear, splits
+from ..operators import cities, forests, linear, order, splits
 from . import cities as city_plans
 from .catalog import FEATURES, query, rounded, seg_value
 from .inputs import Inputs
@@ -86,14 +86,25 @@ se as (select city, scale, row_number() over (partition by city, scale order by
 tiled as materialized (select tm.*, strip from tm join (select {_TILE}, min(k) as strip from tm join se using (city, scale) where col>=a and col+1<=b group by all) using ({_TILE}))"""
 
 
+def tile_matrix(i: Inputs) -> DataFrame:
+    """The features TILE_XS of each city's tiles with their mean congestion y."""
+    values = seg_value(i).join(city_plans.pieces(i).select("city", "nid").distinct(), "nid")
+    y = cities.congestion(city_plans.seg_tile(i), values).where("mean is not null").select(*cities.CITY_KEY, F.col("mean").alias("y"))
+    f = cities.features(city_plans.tile_edges(i), city_plans.grids(i)).select(*cities.CITY_KEY, *TILE_XS)
+    return f.join(y, cities.CITY_KEY)
+
+
 @query(f"select * from (with {_STRIPS_SQL}, {fits_sql('tiled', 'city, scale', 'strip', [1.0], TILE_XS)} select city, scale, strip, n_train, n_test, round(r2,4) as r2, round(mse,4) as mse, {', '.join(f'round(b_{a},4) as {a}' for a in TILE_XS)} from fits)")
 def v3_v6_m6_strip_fits(i: Inputs) -> DataFrame:
     """Each vertical strip of a city's tiles held out in turn: ridge on the other strips, scored
     on it; strips where either side has fewer than five tiles go."""
-    values = seg_value(i).join(city_plans.pieces(i).select("city", "nid").distinct(), "nid")
-    y = cities.congestion(city_plans.seg_tile(i), values).where("mean is not null").select(*cities.CITY_KEY, F.col("mean").alias("y"))
-    f = cities.features(city_plans.tile_edges(i), city_plans.grids(i)).select(*cities.CITY_KEY, *TILE_XS)
-    t = f.join(y, cities.CITY_KEY).withColumn("next", F.col("col") + 1)
-    folds = splits.strips_within(t, ["city", "scale"], "col", "next", 5)
+    folds = splits.strips_within(tile_matrix(i).withColumn("next", F.col("col") + 1), ["city", "scale"], "col", "next", 5)
     got = linear.fit_folds(folds, ["city", "scale"], "strip", TILE_XS, "y", [1.0])
     return rounded(got.select("city", "scale", F.col("strip").cast("long").alias("strip"), "n_train", "n_test", "r2", "mse", *(F.get("scaled", F.lit(k)).alias(a) for k, a in enumerate(TILE_XS))), 4)
+
+
+@query()
+def f19_f20_forest_shape(i: Inputs) -> DataFrame:
+    """Tiles, trees, leaves, depth and their products of the forest of each city and scale."""
+    d = order.cut(tile_matrix(i).select("city", "scale", *(F.col(c).cast("double").alias(c) for c in TILE_XS), "y"))
+    return forests.shapes(d, ["city", "scale"], TILE_XS)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clusters, forests, graph, metrics, models, order, reshape, splits, temporal, tiles
+from ..operators import attribution, clusters, forests, graph, metrics, models, order, reshape, splits, temporal, tiles
 from .catalog import FEATURES, node_tile, query, rounded, seg_tile, seg_value, walk
 from .inputs import Inputs
 
@@ -253,9 +253,12 @@ def m10_m11_u3_boosted(i: Inputs) -> DataFrame:
 
 
 @query()
-def f19_f20_forest_shape(i: Inputs) -> DataFrame:
-    m = models.MODELS["RF"]().setNumTrees(20).setLabelCol("y").fit(models.assembled(i.matrix(), FEATURES))
-    return i.spark.createDataFrame([models.forest_shape(m)], "t double, l double, d double, tld double")
+def m23_m24_a23_w11_forest_attribution(i: Inputs) -> DataFrame:
+    """The exact attribution of every row and feature, the mean over the forests of seven folds,
+    with each feature's mean absolute one and its rank."""
+    d = order.cut(splits.shuffled_folds(i.matrix(), "row_id", 7))
+    found = order.cut(attribution.forest_attribution(d, attribution.fold_forests(d, FEATURES), FEATURES))
+    return rounded(found.unpivot(["row_id", "base"], FEATURES, "feature", "value").join(attribution.mean_absolute(found, FEATURES), "feature"))
 
 
 @query("select event_id, upper(city[1]) || city[2:] as title, replace(city, 'i', '_') as replaced, round_even(jf/4, 0) as half_even from (select event_id, city, floor(jf)::double as jf from jf)")

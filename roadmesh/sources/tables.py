@@ -39,11 +39,22 @@ def read_graph(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame,
     return spark.read.parquet(nodes), spark.read.parquet(edges)
 
 
+def read_rings(spark: SparkSession, path: str) -> DataFrame:
+    """feature, part, ring, place, x, y: the vertices of all polygons of a GeoJSON collection; part numbers a
+    MultiPolygon's polygons, ring 0 is the outer one and others are holes. Features of other kinds or
+    without a geometry give no rows."""
+    raw = spark.read.schema("features array<struct<geometry: struct<type: string, coordinates: string>>>").option("multiLine", True).json(path)
+    f = raw.select(F.posexplode("features").alias("feature", "f")).select("feature", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("c"))
+    ring = "array<array<array<double>>>"
+    one, many = F.when(F.col("kind") == "Polygon", F.array(F.from_json("c", ring))), F.when(F.col("kind") == "MultiPolygon", F.from_json("c", f"array<{ring}>"))
+    parts = f.select("feature", F.posexplode(F.coalesce(one, many)).alias("part", "rings"))
+    rings = parts.select("feature", "part", F.posexplode("rings").alias("ring", "points"))
+    return rings.select("feature", "part", "ring", F.posexplode("points").alias("place", "p")).select("feature", "part", "ring", "place", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
+
+
 def read_boundary(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices (place, x, y) of the outer rings in a GeoJSON collection of polygons."""
-    raw = spark.read.schema("features array<struct<geometry: struct<coordinates: array<array<array<double>>>>>>").option("multiLine", True).json(path)
-    rings = raw.select(F.explode("features").alias("f")).select(F.element_at("f.geometry.coordinates", 1).alias("ring"))
-    return rings.select(F.posexplode("ring").alias("place", "p")).select("place", F.element_at("p", 1).alias("x"), F.element_at("p", 2).alias("y"))
+    """Vertices (place, x, y) of the outer rings in a GeoJSON collection."""
+    return read_rings(spark, path).where("ring = 0").select("place", "x", "y")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
