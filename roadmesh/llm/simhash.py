@@ -323,21 +323,49 @@ def bits_apart(similarity: float, bits: int, spare: float = 1.3) -> int:
 
 
 def _wide_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """slot, variant, sketch, id: each segment once for each of its bits as a wildcard."""
+    """run, sketch, id: each segment once for each of its bits as a wildcard; a run is the number of
+    segment and bit (slot), then the segment without the bit."""
     per = 64 // SEGMENT
-    masks = np.array([((1 << SEGMENT) - 1) & ~(1 << b) for b in range(SEGMENT)], np.int32)
-    slots = np.arange(INDEXED * per * SEGMENT, dtype=np.int16)
+    masks = np.array([((1 << SEGMENT) - 1) & ~(1 << b) for b in range(SEGMENT)], np.int64)
+    slots = np.arange(INDEXED * per * SEGMENT, dtype=np.int64) << 32
     for b in batches:
         for at in range(0, b.num_rows, 2048):
             part = b.slice(at, 2048)
             lanes = np.column_stack([part.column(1 + i).to_numpy(zero_copy_only=False) for i in range(INDEXED)]).view(np.uint64)
-            cut = (lanes[:, :, None] >> np.arange(0, 64, SEGMENT, dtype=np.uint64) & np.uint64((1 << SEGMENT) - 1)).astype(np.int32).reshape(len(lanes), -1)
-            keys = (cut[:, :, None] & masks).reshape(-1)
+            cut = (lanes[:, :, None] >> np.arange(0, 64, SEGMENT, dtype=np.uint64) & np.uint64((1 << SEGMENT) - 1)).astype(np.int64).reshape(len(lanes), -1)
+            keys = (cut[:, :, None] & masks).reshape(-1) | np.tile(slots, len(lanes))
             repeat = lambda i: pa.array(np.repeat(part.column(i).to_numpy(zero_copy_only=False), len(slots)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(slots, len(lanes))), pa.array(keys), repeat(1 + INDEXED), repeat(0)], ["slot", "variant", "sketch", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), repeat(1 + INDEXED), repeat(0)], ["run", "sketch", "id"])
 
 
 LONG_RUN = 64
+#: A run of more signatures is dealt to blocks of so many, and every two blocks meet in a task of their own.
+RUN = 4096
+
+
+def _run_sizes(classes: DataFrame) -> DataFrame:
+    """run, n: how many of classes(s0, s1, ...) a run of _wide_variants() has, from counts of the
+    segments' values: a run is the two values that differ in its bit."""
+    per, full = 64 // SEGMENT, (1 << SEGMENT) - 1
+    cells = [F.struct(F.lit(i * per + k).alias("at"), F.shiftrightunsigned(f"s{i}", k * SEGMENT).bitwiseAND(F.lit(full)).alias("v")) for i in range(INDEXED) for k in range(per)]
+    counted = classes.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.at", "c.v").agg(F.count("*").alias("n"))
+    run = lambda b: F.shiftleft((F.col("at") * SEGMENT + b).cast("long"), 32).bitwiseOR(F.col("v").bitwiseAND(F.lit(full & ~(1 << b))))
+    runs = F.array(*(run(b) for b in range(SEGMENT)))
+    return counted.select(F.explode(runs).alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def _dealt(slots: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """slots with each run of more than most rows as runs of its own for every two blocks of it: each
+    pair of its rows meets in one, so forests of the blocks' links connect what the run's would."""
+    large = stored(_run_sizes(classes).where(F.col("n") > most))
+    if large.isEmpty():
+        return slots
+    j = slots.join(large, "run", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / most), F.lit(1)))
+    j = j.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")))
+    j = j.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or other <> mine")
+    # two runs of one hash would be compared as one, which adds candidates and loses none
+    pair = F.xxhash64("run", F.least("mine", "other"), F.greatest("mine", "other"))
+    return j.select(F.when(F.col("blocks") > 1, pair).otherwise(F.col("run")).alias("run"), "sketch", "id")
 
 
 def _wide_linker(apart: int):
@@ -377,8 +405,7 @@ def _wide_linker(apart: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            slot, variant, sketch, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            cols = [slot.astype(np.int64) << 32 | variant, sketch, ids]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
@@ -491,12 +518,12 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5
     return signed_groups(signed, docs.select(F.col(key).alias("id"), F.col(text).alias("t")), words, similarity)
 
 
-def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: float, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """id, component: similar_groups() of texts(id, t), signed being (id, s0, s1, ...)."""
     names = [f"s{i}" for i in range(LANES)]
     classes = stored(signed.groupBy(*names).agg(F.min("id").alias("rep")))
-    slots = classes.select("rep", *names[: INDEXED + 1]).mapInArrow(lean(_wide_variants), "slot short, variant int, sketch long, id long")
-    near = slots.repartition(F.col("slot"), F.col("variant")).sortWithinPartitions("slot", "variant", "id").mapInArrow(lean(_wide_linker(bits_apart(similarity, 64) + 6)), "a long, b long, dense boolean")
+    slots = classes.select("rep", *names[: INDEXED + 1]).mapInArrow(lean(_wide_variants), "run long, sketch long, id long")
+    near = _dealt(slots, classes, run).repartition("run").sortWithinPartitions("run", "id").mapInArrow(lean(_wide_linker(bits_apart(similarity, 64) + 6)), "a long, b long, dense boolean")
     near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense").distinct())
     pairs = near.where("not dense").select("a", "b")
     side = lambda c: classes.select(F.col("rep").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
