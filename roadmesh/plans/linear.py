@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cities, forests, linear, order, splits
 from . import cities as city_plans
-from .catalog import FEATURES, query, rounded, seg_value
+from .catalog import FEATURES, query, rounded
 from .inputs import Inputs
 
 ALPHAS = [0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0]
@@ -88,8 +88,7 @@ tiled as materialized (select tm.*, strip from tm join (select {_TILE}, min(k) a
 
 def tile_matrix(i: Inputs) -> DataFrame:
     """The features TILE_XS of each city's tiles with their mean congestion y."""
-    values = seg_value(i).join(city_plans.pieces(i).select("city", "nid").distinct(), "nid")
-    y = cities.congestion(city_plans.seg_tile(i), values).where("mean is not null").select(*cities.CITY_KEY, F.col("mean").alias("y"))
+    y = city_plans.congestion(i).where("mean is not null").select(*cities.CITY_KEY, F.col("mean").alias("y"))
     f = cities.features(city_plans.tile_edges(i), city_plans.grids(i)).select(*cities.CITY_KEY, *TILE_XS)
     return f.join(y, cities.CITY_KEY)
 

@@ -44,3 +44,11 @@ def test_raster_is_that_of_all_pieces(spark, pieces):
 def test_raster_sorts_only_winners(spark, pieces):
     # the pieces that meet the whole order are joined with the cells' winners, written before
     assert "Scan ExistingRDD" in plan(tiles.rasterize(pieces.withColumn("value", F.lit(1.0)), 20, "value", ["nid", "v"]))
+
+
+def test_values_joined_before_tiles_give_the_same(spark, pieces):
+    values = spark.createDataFrame([(0, 1.0), (3, 5.0)], "nid long, jf double")
+    after = tiles.tile_jf(tiles.join_segments_tiles(pieces, [10]), values)
+    before = tiles.valued_tile_jf(tiles.join_segments_tiles(pieces.join(values, "nid", "left"), [10]))
+    key = lambda d: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect()), key=repr)
+    assert key(after) == key(before)
