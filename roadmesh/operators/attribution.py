@@ -5,7 +5,8 @@ a tree expects the sum over its leaves of value * product over the path's featur
 feature in S counts 1 inside its interval and 0 outside, and any other counts the share of the
 training rows that went that way. Shapley values of such a product are integrals over t in [0, 1]
 of products of t * inside + (1 - t) * share: polynomials, so that half as many Gauss-Legendre points
-as a path has features give them exactly. Rows are read once, for the forests of all folds."""
+as a path has features give them exactly. A row meets a leaf only by which features are outside their
+intervals, so each leaf has a table of these patterns, and rows look their values up."""
 
 from __future__ import annotations
 
@@ -20,9 +21,14 @@ from pyspark.sql import functions as F
 
 from .forests import node_table
 from .models import MODELS, assembled
+from .order import cut
 
-#: So many cells of rows x conditions are held at once.
+#: So many cells of rows x conditions, or of tables, are held at once.
 CELLS = 1 << 20
+#: Leaves with so many features on their paths at most have tables of their patterns.
+WIDE = 12
+#: Rows of a block and trees of a group that meet in one task.
+ROWS, GROUP = 8192, 50
 
 
 def conditions(nodes: dict[str, np.ndarray], tree: int, features: int) -> dict[str, np.ndarray]:
@@ -75,37 +81,136 @@ def tree_values(c: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return out
 
 
+def path_tables(shares: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """leaves x features on the path x patterns: the Shapley values that leaves of so many features on
+    their paths give. Bit k of a pattern is 1 if feature k is outside its interval."""
+    n, d = shares.shape
+    points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+    out = np.zeros((n, d, 1 << d))
+    for t, w in zip((points + 1) / 2, weights / 2):
+        within, without = t + (1 - t) * shares, (1 - t) * shares
+        product = w * values[:, None]
+        for k in range(d):
+            product = np.concatenate([product * within[:, k, None], product * without[:, k, None]], axis=1)
+        for k in range(d):
+            sides, to = product.reshape(n, -1, 2, 1 << k), out[:, k].reshape(n, -1, 2, 1 << k)
+            to[:, :, 0] += sides[:, :, 0] * ((1 - shares[:, k]) / within[:, k])[:, None, None]
+            to[:, :, 1] -= sides[:, :, 1] * (shares[:, k] / without[:, k])[:, None, None]
+    return out
+
+
+def tabled_values(nodes: dict[str, np.ndarray], tree: int, x: np.ndarray, out: np.ndarray) -> float:
+    """Adds the Shapley values of one tree to out, features x rows, and returns what it expects of an
+    unknown row. A leaf's values depend on a row only by which of its path's features are outside: they are
+    looked up in a table of these patterns, made once for all rows. Leaves with more than WIDE
+    features go by tree_values()."""
+    first = nodes["first"][tree]
+    end = nodes["first"][tree + 1] if tree + 1 < len(nodes["first"]) else len(nodes["left"])
+    left, right, by, at, cover, value = (nodes[c][first:end] for c in ("left", "right", "feature", "threshold", "cover", "value"))
+    left, right, n = left - first, right - first, end - first
+    # place: of each feature among those of a node's path, share: of the rows that it sends on
+    place, share, used = np.full((n, x.shape[1]), -1, np.int8), np.ones((n, x.shape[1])), np.zeros(n, np.int64)
+    level, outside, leaves, patterns, columns = np.zeros(1, np.int64), np.zeros((1, len(x)), np.uint16), [], [], np.ascontiguousarray(x.T)
+    while len(level):
+        inner = left[level] != level
+        leaves.append(level[~inner]), patterns.append(outside[~inner])
+        level, outside = level[inner], outside[inner]
+        f = by[level]
+        new = place[level, f] < 0
+        k = np.where(new, used[level], place[level, f])
+        bit = np.where(k < 16, 1 << np.minimum(k, 15), 0).astype(np.uint16)[:, None]
+        goes = columns[f] <= at[level][:, None]
+        sides = []
+        for child, other in ((left[level], ~goes), (right[level], goes)):
+            place[child], share[child], used[child] = place[level], share[level], used[level] + new
+            place[child, f] = k
+            share[child, f] *= cover[child] / cover[level]
+            sides.append(outside | other * bit)
+        level, outside = np.r_[left[level], right[level]], np.concatenate(sides)
+    leaves, patterns = np.concatenate(leaves), np.concatenate(patterns)
+    for d in np.unique(used[leaves]):
+        here = np.flatnonzero(used[leaves] == d)
+        if not d:
+            continue
+        if d > WIDE:
+            out += tree_values(_only(conditions(nodes, tree, x.shape[1]), d), x).T
+            continue
+        features = np.argsort(np.where(place[leaves[here]] < 0, x.shape[1], place[leaves[here]]), axis=1, kind="stable")[:, :d]
+        step = max(CELLS // (d << d), 1)
+        for a in range(0, len(here), step):
+            some, of = here[a : a + step], features[a : a + step]
+            tables = path_tables(np.take_along_axis(share[leaves[some]], of, 1), value[leaves[some]])
+            for table, fs, row in zip(tables, of, some):
+                pattern = patterns[row].astype(np.intp)
+                for k, f in enumerate(fs):
+                    out[f] += table[k].take(pattern)
+    return float((value[leaves] * share[leaves].prod(1)).sum())
+
+
+def _only(c: dict[str, np.ndarray], d: int) -> dict[str, np.ndarray]:
+    """conditions() of the leaves with d of them."""
+    sizes = np.bincount(c["leaf"], minlength=len(c["value"]))
+    keep = sizes[c["leaf"]] == d
+    leaf = c["leaf"][keep]
+    number = np.cumsum(np.r_[True, leaf[1:] != leaf[:-1]]) - 1
+    start = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+    return {"leaf": number, **{k: c[k][keep] for k in ("feature", "low", "high", "share")}, "start": start, "value": c["value"][leaf[start]]}
+
+
 def _values(shared, features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task holds one block of rows for one group of trees."""
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
         forests = shared.value
-        for b in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns[1:]])
-            found, base = np.zeros(x.shape), 0.0
-            for nodes in forests:
-                trees = len(nodes["first"])
-                for k in range(trees):
-                    c = conditions(nodes, k, features)
-                    found += tree_values(c, x) / (trees * len(forests))
-                    base += c["base"] / (trees * len(forests))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(x), base)), *(pa.array(np.ascontiguousarray(v)) for v in found.T)], ["key", "base", *(f"v{k}" for k in range(features))])
+        t = pa.Table.from_batches(batches).combine_chunks()
+        x = np.column_stack([t.column(3 + k).to_numpy().astype(float) for k in range(features)])
+        found, base = np.zeros((features, len(x))), 0.0
+        for k in _group(sum(len(n["first"]) for n in forests), t.column(2)[0].as_py()):
+            nodes, tree = _tree(forests, k)
+            one = np.zeros_like(found)
+            share = 1 / (len(nodes["first"]) * len(forests))
+            base += tabled_values(nodes, tree, x, one) * share
+            found += one * share
+        columns = [c.combine_chunks() for c in t.columns[:2]]
+        yield from pa.table([*columns, pa.array(np.full(len(x), base)), *(pa.array(v) for v in found)], names=["id", "key", "base", *(f"v{k}" for k in range(features))]).to_batches()
 
     return run
 
 
+def _group(trees: int, group: int) -> range:
+    return range(group * GROUP, min((group + 1) * GROUP, trees))
+
+
+def _tree(forests: list[dict[str, np.ndarray]], k: int) -> tuple[dict[str, np.ndarray], int]:
+    """The k-th tree of all forests."""
+    for nodes in forests:
+        if k < len(nodes["first"]):
+            return nodes, k
+        k -= len(nodes["first"])
+    raise IndexError(k)
+
+
 def forest_attribution(df: DataFrame, models: list[RandomForestRegressionModel], cols: list[str], key: str = "row_id") -> DataFrame:
     """key, base and a column for each of cols: exact Shapley values, the mean over the models (of
     the folds). base and a row's values add up to the models' mean prediction. A null feature goes right at
     each split, as NaN does; rows with equal or null keys are rows of their own; no rows give none. The
-    nodes of all models go to every task, as they do when a model is applied."""
-    session = df.sparkSession
+    nodes of all models go to every task, as they do when a model is applied. Blocks of rows meet groups of
+    trees, one pair a task, and what the groups give a row is added up."""
+    session, kind = df.sparkSession, dict(df.dtypes)[key]
     with ThreadPoolExecutor(4) as pool:
-        shared = session.sparkContext.broadcast(list(pool.map(node_table, models)))
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("key"), *(F.col(c).cast("double").alias(f"v{k}") for k, c in enumerate(cols)))
-    # a row costs far more here than its way: few and full partitions are spread over all cores
-    rows = rows.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism))
-    found = rows.mapInArrow(_values(shared, len(cols)), ", ".join([f"key {kind}", "base double", *(f"v{k} double" for k in range(len(cols)))]))
-    return found.select(F.col("key").alias(key), "base", *(F.col(f"v{k}").alias(c) for k, c in enumerate(cols)))
+        tables = list(pool.map(node_table, models))
+    groups = -(-sum(len(n["first"]) for n in tables) // GROUP)
+    shared = session.sparkContext.broadcast(tables)
+    names = [f"v{k}" for k in range(len(cols))]
+    rows = cut(df.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), *(F.col(c).cast("double").alias(v) for c, v in zip(cols, names))))
+    blocks = 1 + rows.count() // ROWS
+    dealt = rows.select("id", "key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *names)
+    dealt = dealt.repartitionById(blocks * groups, (F.pmod(F.xxhash64("id"), F.lit(blocks)) * groups + F.col("group")).cast("int"))
+    found = dealt.mapInArrow(_values(shared, len(cols)), ", ".join(["id long", f"key {kind}", "base double", *(f"{v} double" for v in names)]))
+    added = found.groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("base", *names)))
+    return added.select(F.col("key").alias(key), "base", *(F.col(v).alias(c) for c, v in zip(cols, names)))
 
 
 def fold_forests(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold", folds: int = 7, model: str = "RF") -> list[RandomForestRegressionModel]:
