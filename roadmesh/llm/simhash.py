@@ -45,6 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER_TABLE, free_name, lean, stored
@@ -370,7 +371,8 @@ def _dealt(slots: DataFrame, classes: DataFrame, most: int) -> DataFrame:
 
 def _wide_linker(apart: int):
     """Pairs of ids that share a variant and whose sketches differ little; of a run
-    with many of them only a spanning forest, marked dense: it stands for all its pairs."""
+    with many of them only a spanning forest of stars (the least id, another), marked dense: it stands
+    for all its pairs."""
 
     def links(key, sketch, ids):
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -391,14 +393,17 @@ def _wide_linker(apart: int):
         single = len(a[0])
         for k in np.flatnonzero(dense & (length > 1)):
             here = slice(start[k], start[k] + length[k])
-            # equal sketches are tied to their first id, different ones form a forest
-            order = np.argsort(sketch[here], kind="stable")
-            s, m = sketch[here][order], ids[here][order]
-            first = np.r_[True, s[1:] != s[:-1]]
-            own, name = s[first], m[first]
-            a.append(name[np.cumsum(first) - 1][~first]), b.append(m[~first])
-            x, y = _forest(own, apart)
-            a.append(name[np.searchsorted(own, x)]), b.append(name[np.searchsorted(own, y)])
+            # a forest's trees become stars: every member is tied to the least id of its tree
+            own, at = np.unique(sketch[here], return_inverse=True)
+            up, (x, y) = np.arange(len(own)), _forest(own, apart)
+            up[np.searchsorted(own, y)] = np.searchsorted(own, x)
+            while not np.array_equal(above := up[up], up):
+                up = above
+            m, tree = ids[here], up[at]
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(least, tree, m)
+            rest = m != least[tree]
+            a.append(least[tree][rest]), b.append(m[rest])
         a, b = np.concatenate(a), np.concatenate(b)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= single)], ["a", "b", "dense"])
 
@@ -518,6 +523,14 @@ def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5
     return signed_groups(signed, docs.select(F.col(key).alias("id"), F.col(text).alias("t")), words, similarity)
 
 
+def gathered(links: DataFrame) -> DataFrame:
+    """Links a < b that connect what the distinct links a < b do, in the end about one for each b: a member
+    of many links is tied to the least of its other ends, and so are these. Stars' centres are few beside
+    members, and many members name the same two, so links no longer grow with the stars that a member is in."""
+    tied = stored(links.withColumn("m", F.min("a").over(W.partitionBy("b"))))
+    return tied.where("a = m").select("a", "b").unionByName(tied.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: float, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """id, component: similar_groups() of texts(id, t), signed being (id, s0, s1, ...)."""
     names = [f"s{i}" for i in range(LANES)]
@@ -530,7 +543,7 @@ def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: f
     wide = bits_apart(similarity, 64 * LANES, SPARE)
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= wide).select("a", "b")
-    families = stored(components(links.unionByName(near.where("dense").select("a", "b").distinct())))
+    families = stored(components(gathered(gathered(links.unionByName(near.where("dense").select("a", "b")).distinct()))))
     members = families.join(classes, families["node"] == classes["rep"]).join(texts, F.col("rep") == F.col("id")).select(F.col("label").alias("family"), "rep", *names, "t")
     labels = family_labels(members, wide, words, similarity, block)
     owned = classes.join(labels, classes["rep"] == labels["node"], "left").select(*names, F.coalesce("label", "rep").alias("component"))

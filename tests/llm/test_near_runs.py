@@ -63,3 +63,27 @@ def test_components_stay(signed):
 def test_no_signatures(signed):
     sig, texts = signed
     assert simhash.signed_groups(sig.limit(0), texts.limit(0), 5, 0.8, run=4).count() == 0
+
+
+def test_links_of_a_family_are_gathered(spark):
+    """One family of 600 near copies shares many runs: each run is a star, and the links that reach the components
+    are about one a member, not one for each run that a member is in; what they connect stays."""
+    rng = np.random.default_rng(6)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for j in range(600):
+        t = list(base)
+        t[int(rng.integers(0, 150))] = f"x{j}"
+        rows.append((j, *simhash.signature(" ".join(t)).view(np.int64).tolist()))
+    classes, slots = slots_of(spark.createDataFrame(rows, ", ".join(["id long", *(f"{n} long" for n in NAMES)])))
+    apart = simhash.bits_apart(0.8, 64) + 6
+    found = slots.repartition("run").sortWithinPartitions("run", "id").mapInArrow(lean(simhash._wide_linker(apart)), "a long, b long, dense boolean")
+    found = simhash.stored(found)
+    assert found.where("dense and a >= b").isEmpty()
+    links = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = simhash.gathered(simhash.gathered(links))
+    assert links.count() > 5 * 600 and few.count() < 2 * 600
+
+    def parts(d):
+        return {(r["node"], r["label"]) for r in simhash.components(d).collect()}
+
+    assert parts(few) == parts(links)
