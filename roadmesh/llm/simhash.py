@@ -494,7 +494,7 @@ def family_labels(members: DataFrame, apart: int, words: int, similarity: float,
     leaders = wide.join(found.where("node = label").select(F.col("node").alias("rep")), "rep", "left_semi")
     many = leaders.groupBy("family").agg(F.ceil(F.count("*") / block).alias("parts"))
     found = found.unionByName(labels(leaders.join(many, "family").withColumn("part", deal(1, "parts")), "family", "part"))
-    joined = components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    joined = gathered_components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
     named = stored(wide.select("family", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("family", "rep", F.coalesce("label", "rep").alias("part")))
     largest = named.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     rest = stored(named.join(largest, "family").where("part <> main").select("family", "rep"))
@@ -506,7 +506,7 @@ def family_labels(members: DataFrame, apart: int, words: int, similarity: float,
     every = wide.withColumn("other", up_to("others"))
     again = wide.join(rest.select("rep"), "rep", "left_semi").withColumn("block", up_to("blocks"))
     found = found.unionByName(labels(every.unionByName(again.select(every.columns)), "family", "block", "other"))
-    return components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return gathered_components(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
 
 
 def similar_groups(docs: DataFrame, key: str, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -531,6 +531,12 @@ def gathered(links: DataFrame) -> DataFrame:
     return tied.where("a = m").select("a", "b").unionByName(tied.where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
 
 
+def gathered_components(links: DataFrame) -> DataFrame:
+    """components() of links a, b, gathered before."""
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return components(gathered(gathered(ends)))
+
+
 def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: float, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """id, component: similar_groups() of texts(id, t), signed being (id, s0, s1, ...)."""
     names = [f"s{i}" for i in range(LANES)]
@@ -543,7 +549,7 @@ def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: f
     wide = bits_apart(similarity, 64 * LANES, SPARE)
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= wide).select("a", "b")
-    families = stored(components(gathered(gathered(links.unionByName(near.where("dense").select("a", "b")).distinct()))))
+    families = stored(gathered_components(links.unionByName(near.where("dense").select("a", "b"))))
     members = families.join(classes, families["node"] == classes["rep"]).join(texts, F.col("rep") == F.col("id")).select(F.col("label").alias("family"), "rep", *names, "t")
     labels = family_labels(members, wide, words, similarity, block)
     owned = classes.join(labels, classes["rep"] == labels["node"], "left").select(*names, F.coalesce("label", "rep").alias("component"))
