@@ -474,11 +474,105 @@ def _group_labels(apart: int, words: int, similarity: float):
     return run
 
 
+#: Members of a family, and characters of each, from which its order of shingles is counted; how many of the most
+#: frequent ones the order tells apart; and members whose prefixes make one slice. Any order loses no link.
+SAMPLED, SAMPLED_TEXT, ORDERED, SLICE = 1024, 20_000, 1 << 16, 1024
+
+
+def _sampled_order(words: int):
+    """family, shingles, counts: those of a family's sample(family, t) that come more than once, by hash."""
+
+    def order(rows: pa.Table) -> pa.Table:
+        own, n = np.unique(np.concatenate([shingles(t.as_py(), words) for t in rows["t"]]), return_counts=True)
+        most = np.sort(np.argsort(-n, kind="stable")[:ORDERED])
+        most = most[n[most] > 1]
+        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (own[most].view(np.int64), n[most])]
+        return pa.table([rows["family"].combine_chunks()[:1], *lists], ["family", "shingles", "counts"])
+
+    return order
+
+
+def _prefixes(words: int, similarity: float):
+    """family, slice, keys, owners of a block of rows(family, slices, rep, t): the shingles of its members' prefixes,
+    each once, with the least member that prefixes tie to its own in this block; slice -1 has the
+    members and those that they are tied to. A prefix is a set's rarest shingles, so many that two sets of at least
+    this similarity share one: of n, all but as many as both must have, and one more."""
+
+    def cut(mine: pa.Table, order: pa.Table) -> pa.Table:
+        if not mine.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.int64()))], ["family", "slice", "keys", "owners"])
+        common, counts = (np.array(order[c][0].as_py() if order.num_rows else [], np.int64) for c in ("shingles", "counts"))
+        common, reps, keys = common.view(np.uint64), mine["rep"].to_numpy(), []
+        for t in mine["t"]:
+            x = shingles(t.as_py(), words)
+            known = np.zeros(len(x), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, x), len(common) - 1)
+                known = np.where(common[at] == x, counts[at], 0)
+            keys.append(x[np.lexsort((x, known))][: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1])
+        own, at = np.unique(np.concatenate(keys), return_inverse=True)
+        by_rep = np.argsort(reps, kind="stable")
+        place = np.empty(len(reps), np.int64)
+        place[by_rep] = np.arange(len(reps))
+        member, up = np.repeat(place, [len(k) for k in keys]), np.arange(len(reps))
+        least = np.full(len(own), len(reps))
+        while True:  # the least place of a shingle's members, then of a member's shingles
+            np.minimum.at(least, at, up[member])
+            before = up.copy()
+            np.minimum.at(up, member, least[at])
+            if np.array_equal(before, up):
+                break
+        owners, slices = reps[by_rep][least], mine["slices"][0].as_py()
+        slice_ = (own % np.uint64(slices)).astype(np.int64)
+        parts = [np.flatnonzero(slice_ == k) for k in np.unique(slice_)]
+        rows = [(-1, reps[by_rep].tolist(), reps[by_rep][up].tolist()), *((int(slice_[i[0]]), own[i].view(np.int64).tolist(), owners[i].tolist()) for i in parts)]
+        family = pa.array([mine["family"][0].as_py()] * len(rows), pa.int64())
+        return pa.table([family, *(pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))))], ["family", "slice", "keys", "owners"])
+
+    return cut
+
+
+def _met(rows: pa.Table) -> pa.Table:
+    """a < b: of the blocks' rows(keys, owners) of one slice, the owners of a key tied to its least one."""
+    keys, owners = (np.concatenate([x.values.to_numpy() for x in rows[c]]) for c in ("keys", "owners"))
+    at = np.lexsort((owners, keys))
+    keys, owners = keys[at], owners[at]
+    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    first = np.repeat(owners[start], np.diff(np.r_[start, len(keys)]))
+    pairs = np.unique(np.column_stack([first, owners])[first != owners], axis=0)
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def split_families(members: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """members(family, rep, t, ...) with smaller families, named by their least member: members that share no shingle
+    of their prefixes, directly or over others, have no links (of at least this similarity), so they part.
+    Members that share with nobody go."""
+    n = members.groupBy("family").agg(F.count("*").alias("_n"))
+    sized = members.join(n, "family")
+    sample = sized.where(F.pmod(F.xxhash64("rep", F.lit(4)), F.ceil(F.col("_n") / SAMPLED)) == 0).select("family", F.substring("t", 1, SAMPLED_TEXT).alias("t"))
+    order = stored(sample.groupBy("family").applyInArrow(_sampled_order(words), "family long, shingles array<long>, counts array<long>"))
+    dealt = sized.select("family", F.pmod(F.xxhash64("rep", F.lit(0)), F.ceil(F.col("_n") / block)).alias("block"), F.ceil(F.col("_n") / SLICE).alias("slices"), "rep", "t")
+    every = order.join(n, "family").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / block) - 1))).drop("_n")
+    found = stored(dealt.groupBy("family", "block").cogroup(every.groupBy("family", "block")).applyInArrow(_prefixes(words, similarity), "family long, slice long, keys array<long>, owners array<long>"))
+    inside = found.where("slice < 0").select(F.inline(F.arrays_zip("owners", "keys"))).toDF("a", "b").where("a <> b")
+    across = found.where("slice >= 0").groupBy("family", "slice").applyInArrow(_met, "a long, b long")
+    parts = gathered_components(inside.unionByName(across))
+    return members.join(parts, F.col("rep") == F.col("node")).withColumn("family", F.col("label")).select(members.columns)
+
+
+def _split(members: DataFrame, words: int, similarity: float, block: int) -> DataFrame:
+    """members with families of more than one block split."""
+    large = stored(members.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > block).select("family"))
+    if large.isEmpty():
+        return members
+    return stored(members.join(large, "family", "left_anti").unionByName(split_families(members.join(large, "family", "left_semi"), words, similarity, block)))
+
+
 def family_labels(members: DataFrame, apart: int, words: int, similarity: float, block: int = BLOCK) -> DataFrame:
     """node, label: the least member that links of at least this similarity reach, of the
     members(family, rep, lanes, t) of all families; members without links may be left out."""
     names = [f"s{i}" for i in range(LANES)]
-    members = stored(members)
+    members = _split(stored(members), words, similarity, block)
     whole = stored(members.groupBy("family").agg(F.ceil(F.count("*") / block).alias("blocks")))
     deal = lambda salt, n: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
     dealt = members.join(whole, "family").withColumn("block", deal(0, "blocks"))
