@@ -37,3 +37,17 @@ def test_parallel_edges_of_a_tile(spark):
     e = spark.createDataFrame([(1, 2, 5, 1.0), (1, 2, 3, 7.0), (1, 3, 1, 2.0), (2, 1, 1, 4.0)], "u long, v long, key int, length double")
     got = sorted(map(tuple, tiles.tile_edges_out(n, e).collect()))
     assert got == [(10, 1, 1, 1, 2, 3, 7.0), (10, 1, 1, 1, 3, 1, 2.0), (20, 2, 2, 1, 2, 3, 7.0), (20, 2, 2, 1, 3, 1, 2.0)]
+
+
+def test_either_end_needs_no_shuffle_of_tiles(spark, plan):
+    """Rows of edges and tiles are not compared: no exchange or group by the tile's columns."""
+    i = Inputs(spark, SF)
+    text = plan(catalog.QUERIES["j5_j7_tile_edges_any"](spark, SF))
+    assert not [x for x in shuffles(text) if "scale#" in x] and len([x for x in shuffles(text) if "REPARTITION" in x]) == 2
+    n = catalog.node_tile(i).select(*tiles.KEY, "node_id")
+    e = spark.createDataFrame([(1, 1_000_001, 5), (1, 1_000_001, 5), (1, 1_000_001, 6), (1, -5, 1), (-5, 1, 1), (-5, -6, 1), (2, 2, 1)], "u long, v long, key int")
+    at = {}
+    for r in n.where("row is not null and node_id in (1, 2, 1000001)").collect():
+        at.setdefault(r["node_id"], set()).add((r["scale"], r["row"], r["col"]))
+    want = sorted({(*t, *x) for x in map(tuple, e.collect()) for c in x[:2] for t in at.get(c, ())})
+    assert sorted(map(tuple, tiles.tile_edges_any(n, e).collect())) == want and want
