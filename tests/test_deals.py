@@ -51,3 +51,9 @@ def test_either_end_needs_no_shuffle_of_tiles(spark, plan):
         at.setdefault(r["node_id"], set()).add((r["scale"], r["row"], r["col"]))
     want = sorted({(*t, *x) for x in map(tuple, e.collect()) for c in x[:2] for t in at.get(c, ())})
     assert sorted(map(tuple, tiles.tile_edges_any(n, e).collect())) == want and want
+
+
+def test_neighbours_are_shuffled_once_by_node(spark, plan):
+    """Edges by u and both ways by node, each in tasks of bounded size; the rest are sums of groups."""
+    found = shuffles(plan(catalog.QUERIES["gf30_neighbours"](spark, SF)))
+    assert len([x for x in found if "REPARTITION" in x]) == 2 and not [x for x in found if re.search(r"\bb#|key#", x)]
