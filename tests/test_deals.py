@@ -57,3 +57,10 @@ def test_neighbours_are_shuffled_once_by_node(spark, plan):
     """Edges by u and both ways by node, each in tasks of bounded size; the rest are sums of groups."""
     found = shuffles(plan(catalog.QUERIES["gf30_neighbours"](spark, SF)))
     assert len([x for x in found if "REPARTITION" in x]) == 2 and not [x for x in found if re.search(r"\bb#|key#", x)]
+
+
+def test_boxes_are_dealt_before_they_become_tiles(spark):
+    """Tasks grow with the customers, however few files hold them."""
+    i = Inputs(spark, SF)
+    assert catalog.dealt_boxes(i, 50).rdd.getNumPartitions() == 1 + i.table("customer").count() // 50 > 1
+    assert "REPARTITION" in catalog.QUERIES["g10_grid_in_degrees"](spark, SF)._jdf.queryExecution().executedPlan().toString()
