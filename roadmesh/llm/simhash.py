@@ -344,29 +344,80 @@ LONG_RUN = 64
 RUN = 4096
 
 
-def _run_sizes(classes: DataFrame) -> DataFrame:
+#: A task that sorts runs gets the variants of so many signatures, in the mean.
+SORTED = 4096
+
+
+def _cells(classes: DataFrame) -> DataFrame:
+    """cell, sketch, id: each segment once for each of its halves. A cell is the number of segment and half (side),
+    what that half holds, and the segment's value. Runs fix one half whole and have their wildcard in the other one, so rows
+    dealt by all but the value become runs() where they are, and eight times fewer rows are shuffled."""
+    per, low = 64 // SEGMENT, (1 << SEGMENT // 2) - 1
+    cells = []
+    for i in range(INDEXED):
+        for k in range(per):
+            v = F.shiftrightunsigned(f"s{i}", k * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1))
+            for side, held in enumerate((F.shiftright(v, SEGMENT // 2), v.bitwiseAND(F.lit(low)))):
+                cells.append((F.lit((((i * per + k) * 2 + side) << SEGMENT // 2)) + held) * F.lit(1 << SEGMENT) + v)
+    return classes.select(F.explode(F.array(*cells)).alias("cell"), F.col(f"s{INDEXED}").alias("sketch"), F.col("rep").alias("id"))
+
+
+def _held(cell: str = "cell"):
+    """What cells are dealt by."""
+    return F.shiftright(cell, SEGMENT)
+
+
+def _runs(cells: DataFrame) -> DataFrame:
+    """The rows of _wide_variants() from those of _cells()."""
+    half, full = SEGMENT // 2, (1 << SEGMENT) - 1
+    at, value = F.shiftright("cell", SEGMENT + half), F.col("cell").bitwiseAND(F.lit(full))  # at: segment and side
+    low = at.bitwiseAND(F.lit(1)) == 0
+    run = lambda j: (at * half + j) * F.lit(1 << 32) + value.bitwiseAND(F.when(low, F.lit(full & ~(1 << j))).otherwise(F.lit(full & ~(1 << j + half))))
+    return cells.select(F.explode(F.array(*(run(j) for j in range(half)))).alias("run"), "sketch", "id")
+
+
+def _run_sizes(classes: DataFrame, over: int = 0) -> DataFrame:
     """run, n: how many of classes(s0, s1, ...) a run of _wide_variants() has, from counts of the
-    segments' values: a run is the two values that differ in its bit."""
+    segments' values: a run is the two values that differ in its bit. Only runs of more than over: one of their
+    values has over half of that, so few are counted whole."""
     per, full = 64 // SEGMENT, (1 << SEGMENT) - 1
     cells = [F.struct(F.lit(i * per + k).alias("at"), F.shiftrightunsigned(f"s{i}", k * SEGMENT).bitwiseAND(F.lit(full)).alias("v")) for i in range(INDEXED) for k in range(per)]
-    counted = classes.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.at", "c.v").agg(F.count("*").alias("n"))
+    counted = stored(classes.select(F.explode(F.array(*cells)).alias("c")).groupBy("c.at", "c.v").agg(F.count("*").alias("n")))
     run = lambda b: F.shiftleft((F.col("at") * SEGMENT + b).cast("long"), 32).bitwiseOR(F.col("v").bitwiseAND(F.lit(full & ~(1 << b))))
-    runs = F.array(*(run(b) for b in range(SEGMENT)))
-    return counted.select(F.explode(runs).alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))
+    runs = F.explode(F.array(*(run(b) for b in range(SEGMENT)))).alias("run")
+    every = counted.select(runs, "n")
+    if over:
+        every = every.join(stored(counted.where(2 * F.col("n") > over).select(runs).distinct()), "run", "left_semi")
+    return every.groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") > over)
 
 
 def _dealt(slots: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """slots with each run of more than most rows as runs of its own for every two blocks of it: each
     pair of its rows meets in one, so forests of the blocks' links connect what the run's would."""
-    large = stored(_run_sizes(classes).where(F.col("n") > most))
+    large = stored(_run_sizes(classes, most))
     if large.isEmpty():
         return slots
-    j = slots.join(large, "run", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / most), F.lit(1)))
+    return slots.join(large, "run", "left_anti").unionByName(_in_blocks(slots, large, most))
+
+
+def _in_blocks(slots: DataFrame, large: DataFrame, most: int) -> DataFrame:
+    """The rows of the runs large(run, n) in runs of their own for every two blocks."""
+    j = slots.join(large, "run").withColumn("blocks", F.ceil(F.col("n") / most))
     j = j.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")))
-    j = j.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("blocks = 1 or other <> mine")
+    j = j.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> mine")
     # two runs of one hash would be compared as one, which adds candidates and loses none
-    pair = F.xxhash64("run", F.least("mine", "other"), F.greatest("mine", "other"))
-    return j.select(F.when(F.col("blocks") > 1, pair).otherwise(F.col("run")).alias("run"), "sketch", "id")
+    return j.select(F.xxhash64("run", F.least("mine", "other"), F.greatest("mine", "other")).alias("run"), "sketch", "id")
+
+
+def _near(classes: DataFrame, apart: int, most: int) -> DataFrame:
+    """a, b, dense of _wide_linker() for all runs of classes(rep, s0, s1, ...); a run of more than most goes in blocks."""
+    link = lambda rows: rows.sortWithinPartitions("run", "id").mapInArrow(lean(_wide_linker(apart)), "a long, b long, dense boolean")
+    rows = _runs(_cells(classes).repartition(1 + classes.count() // SORTED, _held()))
+    large = stored(_run_sizes(classes, most))
+    if large.isEmpty():
+        return link(rows)
+    slots = classes.select("rep", *(f"s{i}" for i in range(INDEXED + 1))).mapInArrow(lean(_wide_variants), "run long, sketch long, id long")
+    return link(rows.join(large, "run", "left_anti")).unionByName(link(_in_blocks(slots, large, most).repartition("run")))
 
 
 def _wide_linker(apart: int):
@@ -631,12 +682,25 @@ def gathered_components(links: DataFrame) -> DataFrame:
     return components(gathered(gathered(ends)))
 
 
+#: Words of 64 bits that a table of bits has at most.
+WORDS = 1 << 18
+
+
+def marked(df: DataFrame, column: str, some: DataFrame, name: str = "_hit") -> DataFrame:
+    """df with name, true where the column of that name is among some's longs, and by chance elsewhere: from a table of
+    bits of at most WORDS words, which goes to all tasks, so that df isn't shuffled."""
+    word, bits = free_name(df.columns, "word"), free_name(df.columns, "bits")
+    place, bit = F.pmod(F.xxhash64(column), F.lit(WORDS)), F.pmod(F.xxhash64(column, F.lit(1)), F.lit(64)).cast("int")
+    table = some.select(place.alias(word), bit.alias("_bit")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias(bits))
+    hit = F.coalesce(F.getbit(F.col(bits), bit) == 1, F.lit(False))
+    return df.withColumn(word, place).join(F.broadcast(table), word, "left").withColumn(name, hit).drop(word, bits)
+
+
 def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: float, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """id, component: similar_groups() of texts(id, t), signed being (id, s0, s1, ...)."""
     names = [f"s{i}" for i in range(LANES)]
     classes = stored(signed.groupBy(*names).agg(F.min("id").alias("rep")))
-    slots = classes.select("rep", *names[: INDEXED + 1]).mapInArrow(lean(_wide_variants), "run long, sketch long, id long")
-    near = _dealt(slots, classes, run).repartition("run").sortWithinPartitions("run", "id").mapInArrow(lean(_wide_linker(bits_apart(similarity, 64) + 6)), "a long, b long, dense boolean")
+    near = _near(classes, bits_apart(similarity, 64) + 6, run)
     near = stored(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dense").distinct())
     pairs = near.where("not dense").select("a", "b")
     side = lambda c: classes.select(F.col("rep").alias(c), *[F.col(n).alias(f"{c}_{n}") for n in names])
@@ -644,7 +708,8 @@ def signed_groups(signed: DataFrame, texts: DataFrame, words: int, similarity: f
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(apart <= wide).select("a", "b")
     families = stored(gathered_components(links.unionByName(near.where("dense").select("a", "b"))))
-    members = families.join(classes, families["node"] == classes["rep"]).join(texts, F.col("rep") == F.col("id")).select(F.col("label").alias("family"), "rep", *names, "t")
+    some = marked(texts, "id", families.select(F.col("node").alias("id"))).where("_hit").select("id", "t")  # the other texts aren't shuffled
+    members = families.join(classes, families["node"] == classes["rep"]).join(some, F.col("rep") == F.col("id")).select(F.col("label").alias("family"), "rep", *names, "t")
     labels = family_labels(members, wide, words, similarity, block)
     owned = classes.join(labels, classes["rep"] == labels["node"], "left").select(*names, F.coalesce("label", "rep").alias("component"))
     return signed.join(stored(owned), names).select("id", "component")
@@ -656,6 +721,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     numbered = stored(docs.withColumn(mark, F.monotonically_increasing_id()))
     groups = similar_groups(numbered, mark, text, words, similarity).select(F.col("id").alias("r"), F.col("component").alias("c"))
     members = groups.join(numbered.select(F.col(mark).alias("r"), F.col(key).alias("k")), "r")
-    best = F.min(F.struct(F.col("k").isNull().alias("n"), "k", "r")).alias("b")
-    keep = members.groupBy("c").agg(best).select(F.col("b.r").alias(mark))
-    return numbered.join(keep, mark, "left_semi").drop(mark)
+    best = members.groupBy("c").agg(F.min(F.struct(F.col("k").isNull().alias("n"), "k", "r")).alias("b"), F.count("*").alias("rows")).where("rows > 1").select("c", F.col("b.r").alias("first"))
+    gone = stored(members.join(best, "c").where("r <> first").select(F.col("r").alias(mark)))
+    # only rows that the bits name are shuffled, most of which go
+    hit = free_name(numbered.columns, "hit")
+    told = marked(numbered, mark, gone, hit)
+    return told.where(~F.col(hit)).unionByName(told.where(F.col(hit)).join(gone, mark, "left_anti")).drop(mark, hit)

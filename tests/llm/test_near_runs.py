@@ -87,3 +87,29 @@ def test_links_of_a_family_are_gathered(spark):
         return {(r["node"], r["label"]) for r in simhash.components(d).collect()}
 
     assert parts(few) == parts(links) == {(r["node"], r["label"]) for r in simhash.gathered_components(links.selectExpr("b as a", "a as b")).collect()}
+
+
+def test_cells_become_the_same_runs_with_fewer_rows_shuffled(signed):
+    classes, slots = slots_of(signed[0])
+    cells = simhash._cells(classes)
+    row = lambda r: (r["run"], r["sketch"], r["id"])
+    assert Counter(map(row, simhash._runs(cells).collect())) == Counter(map(row, slots.collect()))
+    assert 8 * cells.count() == slots.count()
+    # all of a run is in one task, as the cells of each of its rows are dealt alike
+    runs = simhash._runs(cells.repartition(7, simhash._held())).select("run", F.spark_partition_id().alias("p")).distinct()
+    assert runs.count() == runs.select("run").distinct().count()
+
+
+def test_texts_without_links_are_not_shuffled(spark, signed):
+    """One family of near copies among texts that are like no other: only its texts, and few by chance, travel."""
+    sig, texts = signed
+    alone = spark.range(1000, 3000).select(F.col("id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60)), lambda k: F.concat(F.lit("z"), F.col("id").cast("string"), F.lit("y"), k.cast("string")))).alias("t"))
+    docs = texts.unionByName(alone).select(F.col("id").alias("doc_id"), F.col("t").alias("text"), F.lit(1).alias("hit"), F.lit(2).alias("bits"))
+    for threshold in (-1, 10 << 20):  # as if tables were too large to be broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = simhash.dedup(docs)
+        assert got.columns == docs.columns
+        assert sorted(r["doc_id"] for r in got.collect()) == [*range(0, 200, 10), *range(1000, 3000)]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hits = simhash.marked(docs, "doc_id", texts.select(F.col("id").alias("doc_id"))).where("_hit")
+    assert hits.where("doc_id < 200").count() == 200 and hits.count() < 220
