@@ -10,8 +10,8 @@ intervals, so each leaf has a table of these patterns, and rows look their value
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+import functools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .forests import node_table
+from .forests import ahead, node_table
 from .models import MODELS, assembled
 from .order import cut
 
@@ -28,7 +28,9 @@ CELLS = 1 << 20
 #: Leaves with so many features on their paths at most have tables of their patterns.
 WIDE = 12
 #: Rows of a block and trees of a group that meet in one task.
-ROWS, GROUP = 8192, 50
+ROWS, GROUP = 8192, 25
+#: So many forests are grown or held at a time.
+SIDE_BY_SIDE = 2
 
 
 def conditions(nodes: dict[str, np.ndarray], tree: int, features: int) -> dict[str, np.ndarray]:
@@ -159,20 +161,18 @@ def _only(c: dict[str, np.ndarray], d: int) -> dict[str, np.ndarray]:
 
 def _values(shared, features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A task holds one block of rows for one group of trees."""
+        """A task holds one block of rows for one group of a forest's trees."""
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
-        forests = shared.value
+        nodes = shared.value
         t = pa.Table.from_batches(batches).combine_chunks()
         x = np.column_stack([t.column(3 + k).to_numpy().astype(float) for k in range(features)])
-        found, base = np.zeros((features, len(x))), 0.0
-        for k in _group(sum(len(n["first"]) for n in forests), t.column(2)[0].as_py()):
-            nodes, tree = _tree(forests, k)
+        found, base, trees = np.zeros((features, len(x))), 0.0, len(nodes["first"])
+        for tree in _group(trees, t.column(2)[0].as_py()):
             one = np.zeros_like(found)
-            share = 1 / (len(nodes["first"]) * len(forests))
-            base += tabled_values(nodes, tree, x, one) * share
-            found += one * share
+            base += tabled_values(nodes, tree, x, one) / trees
+            found += one / trees
         columns = [c.combine_chunks() for c in t.columns[:2]]
         yield from pa.table([*columns, pa.array(np.full(len(x), base)), *(pa.array(v) for v in found)], names=["id", "key", "base", *(f"v{k}" for k in range(features))]).to_batches()
 
@@ -183,42 +183,34 @@ def _group(trees: int, group: int) -> range:
     return range(group * GROUP, min((group + 1) * GROUP, trees))
 
 
-def _tree(forests: list[dict[str, np.ndarray]], k: int) -> tuple[dict[str, np.ndarray], int]:
-    """The k-th tree of all forests."""
-    for nodes in forests:
-        if k < len(nodes["first"]):
-            return nodes, k
-        k -= len(nodes["first"])
-    raise IndexError(k)
-
-
-def forest_attribution(df: DataFrame, models: list[RandomForestRegressionModel], cols: list[str], key: str = "row_id") -> DataFrame:
+def forest_attribution(df: DataFrame, models: Iterable[RandomForestRegressionModel], cols: list[str], key: str = "row_id") -> DataFrame:
     """key, base and a column for each of cols: exact Shapley values, the mean over the models (of
     the folds). base and a row's values add up to the models' mean prediction. A null feature goes right at
-    each split, as NaN does; rows with equal or null keys are rows of their own; no rows give none. The
-    nodes of all models go to every task, as they do when a model is applied. Blocks of rows meet groups of
-    trees, one pair a task, and what the groups give a row is added up."""
+    each split, as NaN does; rows with equal or null keys are rows of their own; no rows give none. Models
+    follow each other: the nodes of one go to every task, as they do when a model is applied, and what it gives
+    the rows is written before the next. Blocks of rows meet groups of trees, one pair a task, and what the
+    groups of all models give a row is added up."""
     session, kind = df.sparkSession, dict(df.dtypes)[key]
-    with ThreadPoolExecutor(4) as pool:
-        tables = list(pool.map(node_table, models))
-    groups = -(-sum(len(n["first"]) for n in tables) // GROUP)
-    shared = session.sparkContext.broadcast(tables)
     names = [f"v{k}" for k in range(len(cols))]
     rows = cut(df.select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), *(F.col(c).cast("double").alias(v) for c, v in zip(cols, names))))
-    blocks = 1 + rows.count() // ROWS
-    dealt = rows.select("id", "key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *names)
-    dealt = dealt.repartitionById(blocks * groups, (F.pmod(F.xxhash64("id"), F.lit(blocks)) * groups + F.col("group")).cast("int"))
-    found = dealt.mapInArrow(_values(shared, len(cols)), ", ".join(["id long", f"key {kind}", "base double", *(f"{v} double" for v in names)]))
-    added = found.groupBy("id", "key").agg(*(F.sum(c).alias(c) for c in ("base", *names)))
+    blocks, parts = 1 + rows.count() // ROWS, []
+    for nodes in map(node_table, models):
+        groups = -(-len(nodes["first"]) // GROUP)
+        shared = session.sparkContext.broadcast(nodes)
+        dealt = rows.select("id", "key", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *names)
+        dealt = dealt.repartitionById(blocks * groups, (F.pmod(F.xxhash64("id"), F.lit(blocks)) * groups + F.col("group")).cast("int"))
+        parts.append(cut(dealt.mapInArrow(_values(shared, len(cols)), ", ".join(["id long", f"key {kind}", "base double", *(f"{v} double" for v in names)]))))
+        shared.unpersist()
+    added = functools.reduce(DataFrame.unionByName, parts).groupBy("id", "key").agg(*((F.sum(c) / len(parts)).alias(c) for c in ("base", *names)))
     return added.select(F.col("key").alias(key), "base", *(F.col(v).alias(c) for c, v in zip(cols, names)))
 
 
-def fold_forests(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold", folds: int = 7, model: str = "RF") -> list[RandomForestRegressionModel]:
-    """A forest for each fold, grown on the rows of the others, a few at a time."""
+def fold_forests(df: DataFrame, cols: list[str], y: str = "y", fold: str = "fold", folds: int = 7, model: str = "RF") -> Iterator[RandomForestRegressionModel]:
+    """A forest for each fold, grown on the rows of the others; SIDE_BY_SIDE of them are grown or held at a time, as
+    the driver holds a model's nodes."""
     a = assembled(df, cols).select("features", y, fold).persist()
     try:
-        with ThreadPoolExecutor(min(folds, 4)) as pool:
-            return list(pool.map(lambda k: MODELS[model]().setLabelCol(y).fit(a.where(F.col(fold) != k)), range(folds)))
+        yield from ahead(lambda k: MODELS[model]().setLabelCol(y).fit(a.where(F.col(fold) != k)), range(folds), SIDE_BY_SIDE)
     finally:
         a.unpersist()
 
